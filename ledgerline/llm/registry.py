@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import license_scan, line_dedup
+from ledgerline.llm import language_id, license_scan, line_dedup, near_dedup, quality, topk_search, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op3_language_id": language_id.query,
+    "op4_warc": warc.query,
+    "op5_quality": quality.query,
+    "op6_topk_search": topk_search.query,
+    "op7_near_dedup": near_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
+    "op4_warc": warc.SQL,
+    "op6_topk_search": topk_search.SQL,
+    "op7_near_dedup": near_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
