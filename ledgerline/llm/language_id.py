@@ -125,11 +125,11 @@ def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least:
             data, off = tx.text_bytes(batch.column(batch.schema.get_field_index("_text")))
             logs = np.log(np.array([p or [1.0] * len(languages) for p in prior]).reshape(-1, len(languages)))
             logs += sides[0][[place.get((x or "").lower()[:2], -1) for x in declared]] + sides[1][[pointed.get((x or "").lower(), -1) for x in suffix]]
-            number = np.zeros(len(batch), np.int64)
+            number, letters = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for a, b, part, at in tx.pieces(data, off):
                 found, _ = _trigrams(part, at)
                 sums = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.float64)]))[at[1:]] - c[at[:-1]]  # noqa: B023, E731
-                number[a:b] = sums(found < BUCKETS)
+                number[a:b], letters[a:b] = sums(found < BUCKETS), sums(_FOLD[part] != 32)
                 share = np.minimum(weight, number[a:b]) / np.maximum(number[a:b], 1)
                 for i in range(len(languages)):
                     logs[a:b, i] += sums(model[i][found]) * share
@@ -137,7 +137,7 @@ def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least:
             odds = odds / odds.sum(axis=1, keepdims=True)
             best = odds.argmax(axis=1) if len(odds) else np.zeros(0, int)
             top = odds[np.arange(len(odds)), best]
-            facts = [pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(top, pa.float64()), pa.array(number), pa.array((top >= least) & (number > 0))]
+            facts = [pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(top, pa.float64()), pa.array(number), pa.array((top >= least) & (letters > 0))]
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_declared", "_suffix", "_prior", "_text")]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, schema, strict=False)), *facts], schema=schema)
 
