@@ -1,8 +1,70 @@
-"""Stages over `documents`, filled in as the operators arrive."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), calls one corpus operator and returns the columns
+of documents for what it keeps; the last returns the packed pieces. run() writes every
+stage's result to the shared folder and reads it again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+from ledgerline.llm.common import join_small, table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is decided, under the language found."""
+    found = language_id.identify(docs, keep=COLUMNS)
+    return found.where("accepted").withColumn("lang", F.col("language")).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that an earlier one has; one of nothing else goes."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = out.where("line_dedup.n_removed < line_dedup.n_lines or line_dedup.n_removed = 0")
+    return out.withColumn("n_chars", F.when(F.col("line_dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    gone = written(near_dedup.link(docs).where("not kept").select("doc_id").distinct(), "copies")
+    return _without(docs, gone)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, written(found.where("doc_id is not null").select("doc_id").distinct(), "leaks"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with the bins that hold them."""
+    return packing.pack(docs)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    marked = join_small(docs.select(*COLUMNS), ids.withColumn("_gone", F.lit(True)), ["doc_id"])
+    return marked.where("_gone is null").select(*COLUMNS)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Language ID and packing are not expressible in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
