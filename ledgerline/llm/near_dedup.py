@@ -6,11 +6,14 @@
    ordered rarest first and, as two signatures of `coords` values that agree in at least
    `match` of them must meet within the first coords - match + 1, only that prefix is
    posted and pairs held by one class alone are skipped.
-3. In each posting list a hub (the class whose pairs are the most shared) is compared with
-   the others; components form; lists that still hold several components go on with another
-   hub, and what then remains is joined across components only. So a group of n copies costs
-   about n comparisons, not n * n, and no link between different components goes untested.
-4. Collisions of a candidate pair are counted over the whole signature; from `match` on, the
+3. In each posting list the hub (the class whose pairs are the most shared) meets every
+   other class once, on the full sets, and links are kept. So a list of n costs n.
+4. What two classes of a list share lies within the hub or outside of it. For classes that
+   did not join the hub's component, pairs are taken up again only if they share a shingle
+   outside the hub, or if what each shares with the hub is enough for a link. Shingles that
+   more than `hot` classes hold and the hub lacks count as the hub's. No other pair can be
+   a link, so none is lost, and no list is paired in full.
+5. Collisions of such a pair are counted over the whole signature; from `match` on, the
    link is confirmed on the full shingle sets.
 
 At similarity 0.8 a pair of 32-value signatures agrees in fewer than 14 values with a
@@ -32,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerline.llm import textops as tx
 from ledgerline.llm.common import table, written
@@ -42,9 +44,8 @@ from ledgerline.llm.components import components
 SPACE = " \t\n\x0b\x0c\r"
 COORDS = 32
 MATCH = 14
-HUB_ROUNDS = 3
-#: Pairs per posting up to which what is left of the lists is joined in full.
-PAIRS_PER_POSTING = 4
+#: Classes of a list that hold a shingle which its hub lacks, up to which they are paired by it.
+HOT = 64
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -96,39 +97,62 @@ def _sets(k: int):
     return run
 
 
-def _confirmed(percent: int):
+def _compared(percent: int, extras: bool):
+    """Full sets oa, ob of a pair: what they share, whether that is a link, what b has beside a."""
+
     def run(batches):
         for batch in batches:
-            yes = []
+            shared, linked, more = [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
+                inside = np.isin(y, x, assume_unique=True)
+                both = int(inside.sum())
+                shared.append(both)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                more.append(y[~inside].view(np.int64) if extras else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "extras"])
 
     return run
 
 
-class _Links:
-    """Candidate pairs to confirmed links, over the classes of one run."""
-
-    def __init__(self, classes: DataFrame, sets: DataFrame, percent: int, match: int):
-        self.sets, self.percent, self.match = sets, percent, match
-        self.tokens = classes.select("rep", "n", "tokens")
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b): those that collide often enough and whose sets confirm it."""
-        for side in "ab":
-            pairs = pairs.join(self.tokens.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}")), side)
-        pairs = pairs.where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb) and size(array_intersect(ta, tb)) >= {self.match}").select("a", "b").distinct()
-        pairs = written(pairs, "pairs")
-        whole = pairs.join(self.sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
-        hubs = self.sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-        whole = whole.join(hubs.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
-        return written(whole.select("a", "b", "oa", "ob").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
-
-
-def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
+    """(a, b, shared, linked, extras) of the pairs (a, b), from their full sets."""
+    whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
+    firsts = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
+    whole = whole.join(firsts.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
+    return written(whole.select("a", "b", "oa", "ob").mapInArrow(_compared(percent, extras), "a long, b long, shared long, linked boolean, extras array<long>"), "compared")
+
+
+def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int, hot: int) -> DataFrame:
+    """(a, b): pairs of one hub that may still be links between two components."""
+    label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    hubs = facts.select("a").distinct().join(sizes.select(F.col("rep").alias("a"), "n"), "a")
+    rows = facts.select("a", "b", "shared", "extras").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
+    rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), F.lit(None).cast("array<long>").alias("extras"), "n"))
+    rows = written(label(label(rows, "a"), "b"), "members")
+    # only hubs with a member outside their component leave anything open
+    rows = rows.join(rows.where("a_in <> b_in").select("a").distinct(), "a", "left_semi")
+    beside = rows.select("a", "b", F.explode("extras").alias("s"))
+    held = beside.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1")
+    beside = written(beside.join(held, ["a", "s"]).select("a", "b", "s", (F.col("c") > hot).alias("hot")), "beside")
+    most = beside.groupBy("a", "b").agg(F.count_if("hot").alias("more"), F.count_if(~F.col("hot")).alias("rest"))
+    rows = rows.drop("extras").join(most, ["a", "b"], "left").withColumn("core", F.col("shared") + F.coalesce("more", F.lit(0))).withColumn("rest", F.coalesce("rest", F.lit(0)))
+    rows = written(rows.select("a", "b", "n", "core", "rest", "a_in", "b_in"), "bounds")
+    x = rows.where("a_in <> b_in").select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "core", "rest", "b_in")])
+    y = rows.select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "core", "rest", "b_in")])
+    # a link shares percent / (100 + percent) of both sizes together
+    enough = lambda both: f"({100 + percent}) * ({both}) >= {percent} * (n_x + n_y) and b_in_x <> b_in_y"
+    low, high = f"cast(ceil({percent} * n_x / 100) as long)", f"least(cast(floor(100 * n_x / {percent}) as long), cast(floor({100 + percent} * core_x / {percent}) as long) - n_x)"
+    ranged = x.where(f"{high} >= {low}").withColumn("n_y", F.explode(F.expr(f"sequence({low}, {high})")))
+    within = ranged.join(y, ["a", "n_y"]).where(enough("least(core_x, core_y)"))
+    shared = beside.where("not hot")
+    met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "b_in_x").distinct()
+    met = met.join(y, ["a", "b_y"]).where(enough("least(core_x, core_y) + least(rest_x, rest_y)"))
+    pairs = within.select("b_x", "b_y").union(met.select("b_x", "b_y"))
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_signatures(k, coords), "doc long, n long, key binary, tokens array<long>"), "signatures")
@@ -138,46 +162,34 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
     held = written(tokens.groupBy("token").count().where("count > 1"), "tokens")
     weighed = tokens.join(held, "token", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token"))).alias("t"))
-    weighed = weighed.select("rep", F.expr("aggregate(t, 0D, (s, x) -> s + ln(x.count))").alias("shared"), F.expr(f"filter(slice(t, 1, {coords - match + 1}), x -> x.count > 1)").alias("t"))
-    posted = written(weighed.select("rep", "shared", F.explode("t.token").alias("token")), "postings")
+    weighed = weighed.select("rep", F.expr("aggregate(t, 0D, (s, x) -> s + ln(x.count))").alias("weight"), F.expr(f"filter(slice(t, 1, {coords - match + 1}), x -> x.count > 1)").alias("t"))
+    posted = written(weighed.select("rep", "weight", F.explode("t.token").alias("token")), "postings")
 
     members = posted.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
     sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(_sets(k), "rep long, own binary"), "sets")
-    links = _Links(classes, sets, percent, match)
-
-    # several classes of one doc_id (repeated ids) are one node
-    found = written(posted.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "links")
-    labels = None
-    for turn in range(HUB_ROUNDS + 1):
-        at = posted if labels is None else posted.join(labels, posted.rep == labels.node, "left").drop("node")
-        at = at.withColumn("component", F.col("rep") if labels is None else F.coalesce("component", "rep"))
-        lists = at.groupBy("token", "component").agg(F.count("*").alias("c"), F.max(F.struct("shared", F.negative("rep").alias("r"))).alias("best"))
-        lists = written(lists, "lists")
-        whole = lists.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
-        size = whole.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        if not size[1]:
-            break
-        at = at.join(whole.select("token"), "token")
-        if turn == HUB_ROUNDS or size[0] <= PAIRS_PER_POSTING * size[1]:
-            at = written(at.select("token", "rep", "component"), "left")
-            x, y = (at.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "component")]) for s in "xy")
-            pairs = x.join(y, "token").where("repx < repy and componentx <> componenty").select(F.col("repx").alias("a"), F.col("repy").alias("b"))
-        else:
-            # the first hub is the list's most shared class; a later one stands outside the largest component
-            order = W.partitionBy("token").orderBy(F.desc("c"), F.desc("best"))
-            if turn == 0:
-                hub = lists.groupBy("token").agg(F.max(F.struct("best", "component")).alias("h")).select("token", F.negative("h.best.r").alias("a"), F.col("h.component").alias("ca"))
-            else:
-                hub = lists.withColumn("at", F.row_number().over(order)).where(F.col("at") == 1 + turn).select("token", F.negative("best.r").alias("a"), F.col("component").alias("ca"))
-            pairs = at.join(written(hub, "hubs"), "token").where("component <> ca").select("a", F.col("rep").alias("b"))
-        found = found.union(links.of(pairs.distinct()))
-        labels = written(components(found), "labels")
-        if turn == HUB_ROUNDS or size[0] <= PAIRS_PER_POSTING * size[1]:
-            break
-
-    named = classes.select("key", "rep")
-    if labels is not None:
-        named = named.join(labels, named.rep == labels.node, "left").select("key", F.coalesce("component", "rep").alias("rep"))
+
+    hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
+    pairs = posted.join(hubs, "token").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    facts = _compare(written(pairs, "pairs"), sets, percent, True)
+    sizes = classes.select("rep", "n").distinct()
+    labels = written(components(facts.where("linked").select("a", "b")), "labels")
+
+    again = _open_pairs(facts, sizes, labels, percent, hot)
+    for side in "ab":
+        again = again.join(classes.select(F.col("rep").alias(side), F.col("tokens").alias(f"t{side}")), side)
+    again = written(again.where(f"size(array_intersect(ta, tb)) >= {match}").select("a", "b").distinct(), "pairs")
+    found = _compare(again, sets, percent, False).where("linked").select("a", "b")
+    if found.limit(1).count():
+        # what is linked now joins whole components: their labels stand for their members
+        named = found
+        for side in "ab":
+            named = named.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+        merged = written(components(named.select("a_in", "b_in"), "a_in", "b_in"), "merged")
+        own = labels.union(found.select("a", "a")).union(found.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+        own = own.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+        labels = written(own.select("node", F.coalesce("whole", "component").alias("component")), "labels")
+
+    named = classes.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("rep"))
     own = signed.select("doc", "n", "key").join(written(named, "named"), "key", "left")
     own = own.withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")))
     return own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
