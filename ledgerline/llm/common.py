@@ -48,5 +48,9 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 
 
 def folded(text: Column) -> Column:
-    """Text with A-Z in lower case and nothing else changed; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Text in lower case; null is empty.
+
+    For words of a-z that is the same as folding A-Z alone: the one other character whose
+    lower case is such a letter (the Kelvin sign) is put aside first.
+    """
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))

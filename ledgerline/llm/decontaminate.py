@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash windows (DataFrame functions only).
 
-1. Word k-gram hashes of every text are joined to those of the benchmark items; a hit
-   places an item-sized window on its diagonal. A window as similar as asked shares
-   k-grams with its item, so no such window is left out.
+1. Word k-gram hashes of every text, at every `stride`-th place, are joined to those of the
+   benchmark items. A window that is similar enough differs from its item in so few k-grams
+   that some of these places hit, and how many is known; texts with as many hits of an item
+   get an item-sized window on the diagonal of every hit. The stride is the largest one, up
+   to STRIDE, that leaves at least one such hit for every item.
 2. Each window and each item gets a 64-bit SimHash of its weighted shingles (the weight
    is how often a shingle occurs).
 3. Fingerprints are cut into radius + 1 blocks; two that differ in at most `radius` bits
@@ -30,16 +32,26 @@ from ledgerline.llm.license_scan import WORD
 K = 5
 PERCENT = 80
 RADIUS = 20
+STRIDE = 4
 
 
 def _words(text: str) -> Column:
     return F.regexp_extract_all(folded(F.col(text)), F.lit(WORD), F.lit(0))
 
 
-def _shingles(words: str, k: int) -> str:
-    """SQL: hashes of the k-word shingles of an array, one of the whole if it is shorter."""
+def _shingles(words: str, k: int, stride: int = 1) -> str:
+    """SQL: hashes of the k-word shingles of an array of word hashes, one of the whole if it is shorter."""
     gram = ", ".join(f"{words}[i + {j}]" for j in range(k))
-    return f"if(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}), i -> xxhash64({gram})), array(xxhash64({words})))"
+    return f"if(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}, {stride}), i -> xxhash64({gram})), array(xxhash64({words})))"
+
+
+def _hits(size: str, stride: int, percent: int) -> str:
+    """SQL: hits at every stride-th place that a similar window of an item of so many shingles has at least.
+
+    Its own shingles are at least `percent` of the item's, so that many places fall in it,
+    and of them at most (100 - percent) / (100 + percent) of the item's size do not match.
+    """
+    return f"floor({percent} * {size} / {100 * stride}) - floor({100 - percent} * {size} / {100 + percent})"
 
 
 def _simhash(shingles: str) -> str:
@@ -48,41 +60,47 @@ def _simhash(shingles: str) -> str:
 
 
 def _blocks(value: str, radius: int) -> str:
-    """SQL: (block, bits) of radius + 1 blocks that cover the 64 bits."""
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    return "array(" + ", ".join(f"struct({n} as block, shiftrightunsigned({value}, {a}) & {(1 << (b - a)) - 1}L as bits)" for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False))) + ")"
+    """SQL: the bits of each of radius + 1 blocks that cover the 64 bits; the last takes the rest."""
+    width = 64 // (radius + 1)
+    rest = (1 << (64 - radius * width)) - 1
+    return f"transform(sequence(0, {radius}), b -> shiftrightunsigned({value}, b * {width}) & if(b = {radius}, {rest}L, {(1 << width) - 1}L))"
 
 
 def leaks(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, th, item_id, similarity, start_word: the best window per document and item."""
-    bench = items.select(F.col(item_col).alias("item_id"), _words(item_text).alias("w")).where("size(w) > 0").distinct()
+    hashed = lambda c: F.transform(_words(c), lambda x: F.xxhash64(x))
+    bench = items.select(F.col(item_col).alias("item_id"), hashed(item_text).alias("w")).where("size(w) > 0").distinct()
     bench = bench.withColumn("m", F.size("w")).withColumn("sh", F.expr(_shingles("w", k)))
     bench = written(bench.withColumn("fp", F.expr(_simhash("sh"))).select("item_id", "m", "sh", "fp"), "items")
-    seeds = written(bench.select("m", F.posexplode("sh").alias("ipos", "h")).distinct(), "item-shingles")
+    short = bench.agg(*[F.min(F.expr(_hits("size(sh)", t, percent))) for t in range(2, STRIDE + 1)]).first()
+    stride = max([t for t, least in zip(range(2, STRIDE + 1), short, strict=True) if (least or 0) > 0], default=1)
+    need = F.greatest(F.lit(1), F.expr(_hits("size(sh)", stride, percent))).alias("need")
+    seeds = written(bench.select("item_id", "m", need, F.posexplode("sh").alias("ipos", "h")), "item-shingles")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), _words(text_col).alias("w")).where("size(w) > 0")
-    hits = texts.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", k))).alias("pos", "h"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), hashed(text_col).alias("w")).where("size(w) > 0")
+    hits = texts.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", k, stride))).alias("nth", "h"))
     hits = join_small(hits, seeds, ["h"], "inner", 10 * BROADCAST_ROWS)
     # a window that would end behind the text starts as early as the text allows
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("m"))).alias("start")
-    placed = hits.select("doc_id", "th", F.struct("m", start).alias("at")).groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
-    placed = written(placed, "windows")
+    start = F.greatest(F.lit(0), F.least(F.col("nth") * stride - F.col("ipos"), F.col("n") - F.col("m")))
+    hits = hits.select("doc_id", "th", "item_id", "need", "m", "nth", start.alias("start"))
+    placed = hits.groupBy("doc_id", "th", "item_id", "need", "m").agg(F.collect_set("start").alias("start"), F.size(F.collect_set("nth")).alias("met"))
+    placed = placed.where("met >= need").select("doc_id", "th", F.struct("m", "start").alias("at"))
+    placed = written(placed.groupBy("doc_id", "th").agg(F.collect_set("at").alias("at")), "windows")
 
     again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = placed.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
     found = again.join(F.broadcast(side) if small else side, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    found = found.select("doc_id", "th", "at", _words("text").alias("w")).distinct()
-    found = found.select("doc_id", "th", "w", F.explode("at").alias("at"))
-    found = found.select("doc_id", "th", "at.m", "at.start", F.expr("slice(w, at.start + 1, at.m)").alias("w"))
+    found = found.select("doc_id", "th", "at", hashed("text").alias("w"))
+    windows = "flatten(transform(at, a -> transform(a.start, s -> struct(a.m as m, s as start, slice(w, s + 1, a.m) as w))))"
+    found = found.select("doc_id", "th", F.explode(F.expr(windows)).alias("x")).select("doc_id", "th", "x.m", "x.start", "x.w").distinct()
     found = found.select("doc_id", "th", "m", "start", F.expr(_shingles("w", k)).alias("sh"))
     found = found.withColumn("fp", F.expr(_simhash("sh")))
-    keyed = found.withColumn("b", F.explode(F.expr(_blocks("fp", radius))))
-    blocks = bench.select("item_id", "m", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), F.explode(F.expr(_blocks("fp", radius))).alias("b"))
-    pairs = join_small(keyed, written(blocks, "item-blocks"), ["m", "b"], "inner")
-    pairs = pairs.where(f"bit_count(fp ^ ifp) <= {radius}")
+    keyed = found.select("*", F.posexplode(F.expr(_blocks("fp", radius))).alias("block", "bits"))
+    blocks = bench.select("item_id", "m", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), F.posexplode(F.expr(_blocks("fp", radius))).alias("block", "bits"))
+    pairs = join_small(keyed, written(blocks, "item-blocks"), ["m", "block", "bits"], "inner")
     # of the blocks in which a pair agrees, the first one speaks for it
-    pairs = pairs.where(f"b.block = array_position(zip_with({_blocks('fp', radius)}, {_blocks('ifp', radius)}, (x, y) -> x.bits = y.bits), true) - 1")
+    pairs = pairs.where(f"bit_count(fp ^ ifp) <= {radius}").where(f"block = array_position({_blocks('(fp ^ ifp)', radius)}, 0L) - 1")
     n = lambda a: f"cast(size(filter({a}, y -> y = x)) as long)"
     both = f"aggregate(array_distinct(sh), 0L, (s, x) -> s + least({n('sh')}, {n('ish')}))"
     pairs = pairs.withColumn("both", F.expr(both)).withColumn("all", F.expr("size(sh) + size(ish)") - F.col("both"))
@@ -96,13 +114,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM benchmark),
 ds AS (SELECT doc_id, p, len(w) AS n, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g
        FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM d WHERE len(w) > 0)),
 ig AS (SELECT item_id, p, len(w) AS m, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g
        FROM (SELECT item_id, w, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM i WHERE len(w) > 0)),
-win AS (SELECT DISTINCT ds.doc_id, ig.m, greatest(0, least(ds.p - ig.p, ds.n - ig.m)) AS start FROM ds JOIN ig USING (g)),
+hit AS (SELECT ds.doc_id, ig.item_id, ig.m, ds.p, greatest(0, least(ds.p - ig.p, ds.n - ig.m)) AS start FROM ds JOIN ig USING (g) WHERE ds.p % {STRIDE} = 0),
+met AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, m HAVING count(DISTINCT p) >= greatest(1, floor({PERCENT} * greatest(m - {K} + 1, 1) / {100 * STRIDE}) - floor({100 - PERCENT} * greatest(m - {K} + 1, 1) / {100 + PERCENT}))),
+win AS (SELECT DISTINCT doc_id, m, start FROM hit JOIN met USING (doc_id, item_id)),
 ws AS (SELECT win.doc_id, win.m, win.start, d.w[win.start + 1:win.start + win.m] AS w FROM win JOIN d USING (doc_id)),
 wg AS (SELECT doc_id, m, start, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g, greatest(len(w) - {K} + 1, 1) AS nc
        FROM (SELECT *, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM ws)),
