@@ -148,7 +148,8 @@ def identify(docs: DataFrame, declared: str = "lang", host: str | None = "source
     """The columns `keep` of docs (all by default) with language, posterior, n_trigrams and accepted."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    keep = docs.columns if keep is None else keep
+    made = ("language", "posterior", "n_trigrams", "accepted")
+    keep = [c for c in docs.columns if c not in made] if keep is None else keep
     model = text_model(docs, languages, declared, text)
     named = lambda c: F.col(c) if c else F.lit(None).cast("string")
     priors = host_priors(docs.select(named(host).alias("host"), F.substring(F.lower(declared), 1, 2).alias("declared")), languages)

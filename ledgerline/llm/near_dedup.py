@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import textops as tx
-from ledgerline.llm.common import table, written
+from ledgerline.llm.common import join_small, table, written
 from ledgerline.llm.components import components
 
 #: What separates words.
@@ -131,7 +131,7 @@ def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent:
     rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), F.lit(None).cast("array<long>").alias("extras"), "n"))
     rows = written(label(label(rows, "a"), "b"), "members")
     # only hubs with a member outside their component leave anything open
-    rows = rows.join(rows.where("a_in <> b_in").select("a").distinct(), "a", "left_semi")
+    rows = join_small(rows, written(rows.where("a_in <> b_in").select("a").distinct(), "open-hubs"), ["a"], "left_semi")
     beside = rows.select("a", "b", F.explode("extras").alias("s"))
     held = beside.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1")
     beside = written(beside.join(held, ["a", "s"]).select("a", "b", "s", (F.col("c") > hot).alias("hot")), "beside")
