@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ledgerline.plans import flows, integrity, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | integrity.QUERIES | flows.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | integrity.ORACLES | flows.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return relational.flagship(spark, sf_dir)
