@@ -13,9 +13,11 @@ the name of the whole segment around it.
 
 Sort: samples are dealt to buckets by key and each bucket is sorted by (key, rank,
 document). Equal ranks settle ties of any length without looking at text: all but the
-smallest document of a (key, rank) lose the segment. Where one key has several ranks,
-only these segments are compared further, window by window, from their bytes; keys
-with very many ranks are dealt again by window, so that no task gets a whole hot group.
+smallest document of a (key, rank) lose the segment. Two segments of one key but different
+rank can share a window only if the SIDE bytes before or those after the sample are equal;
+where tags of these bytes say so, the segments are compared window by window from their
+bytes. Very large groups of them are dealt again by window, so that no task gets a whole
+hot group.
 
 Documents equal in text to one with a smaller id are settled first, by digest.
 
@@ -33,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +44,13 @@ from ledgerline.llm.common import table, written
 
 LENGTH = 50
 K = 16
+#: A window that holds a sample holds this many bytes before it or as many after it.
+SIDE = (LENGTH - K) // 2
 #: Bytes of text per bucket and samples that a task holds before it deals them out.
-BUCKET_BYTES = 32 << 20
-HELD = 1 << 20
+BUCKET_BYTES = 8 << 20
+HELD = 1 << 17
+#: Bytes of text whose samples are taken at once (a longer document is taken whole).
+PIECE = 1 << 18
 #: Ranks of one key above which its segments are dealt by window.
 MANY = 256
 #: Rows of (doc_id, digest) up to which exact copies are looked up by broadcast.
@@ -51,16 +58,17 @@ COPIES = 200_000
 
 _U = np.uint64
 _RANK = _U((1 << 48) - 1)
-#: What a reply says about a segment: it goes, or its bytes are asked for, to be judged, as one of many.
-GONE, ASKED, JUDGED, HOT = 0, 1, 2, 4
+#: What a reply says about a segment: it goes, or its bytes are asked for whole, or window by window.
+GONE, WHOLE, WINDOWS = 0, 1, 2
 
 
 def samples(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document index, first window, last window, key, rank) of each segment of a piece."""
+    """(document index, first window, last window, key, rank, tags) of each segment of a piece."""
     n = len(part)
     none = np.empty(0, np.int64)
+    nothing = none, none, none, *[none.astype(_U)] * 3
     if n < LENGTH:
-        return none, none, none, none.astype(_U), none.astype(_U)
+        return nothing
     sums = tx.prefix(part)
     _, down = tx.powers(n + 1)
     keys = tx.mix((sums[K:] - sums[:-K]) * down[: n - K + 1])
@@ -74,13 +82,16 @@ def samples(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.repeat(off[1:], np.diff(off))
     window = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= LENGTH)
     if not len(window):
-        return none, none, none, none.astype(_U), none.astype(_U)
+        return nothing
     at = (least[window] & _U(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([start[1:], [len(at)]]) - 1
     first, last, at = window[start], window[last], at[start]
     rank = tx.mix(tx.span(sums, first, last + LENGTH) + (at - first).astype(_U)) & _RANK
-    return np.searchsorted(off, first, "right") - 1, first, last, keys[at], rank
+    doc = np.searchsorted(off, first, "right") - 1
+    before = tx.span(sums, np.maximum(at - SIDE, off[doc]), at) & _U(0xFFFF)
+    after = tx.span(sums, at + K, np.minimum(at + K + SIDE, off[doc + 1])) & _U(0xFFFF)
+    return doc, first, last, keys[at], rank, before << _U(16) | after
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -94,12 +105,12 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 def _dealt(buckets: int):
     """Samples of whole texts by bucket; what a smaller document of the same run settles goes as a reply."""
-    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary()), ("docs", pa.binary()), ("reply", pa.bool_())])
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary()), ("docs", pa.binary()), ("tags", pa.binary()), ("reply", pa.bool_())])
 
     def flush(held):
-        doc, key, rank = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, key, rank, tags = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, rank, key))
-        doc, key, rank = doc[order], key[order], rank[order]
+        doc, key, rank, tags = doc[order], key[order], rank[order], tags[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])])
         smallest = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         sent = doc == smallest
@@ -107,16 +118,16 @@ def _dealt(buckets: int):
         settled = doc != smallest
         rows = []
         for reply, chosen in ((False, sent), (True, settled)):
-            k, r, d = key[chosen], rank[chosen], doc[chosen]
+            k, r, d, t = key[chosen], rank[chosen], doc[chosen], tags[chosen]
             # settled ones spread by document, whatever key they share
             bucket = (tx.mix(d.astype(_U)) if reply else k) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
-            bucket, k, r, d = bucket[order], k[order], r[order], d[order]
+            bucket, k, r, d, t = bucket[order], k[order], r[order], d[order], t[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 own = k[a:b]
                 own = np.diff(own, prepend=_U(0)) if not reply else own[:0]
-                rows.append({"bucket": int(bucket[a]), "keys": _planes(own), "ranks": _planes(r[a:b]), "docs": _planes(d[a:b].astype(np.int64).view(_U)), "reply": reply})
+                rows.append({"bucket": int(bucket[a]), "keys": _planes(own), "ranks": _planes(r[a:b]), "docs": _planes(d[a:b].astype(np.int64).view(_U)), "tags": _planes(t[a:b] if not reply else t[:0]), "reply": reply})
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
@@ -124,9 +135,9 @@ def _dealt(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, off = tx.text_bytes(batch.column(1))
-            for a, _, part, at in tx.pieces(data, off, 1 << 20):
-                doc, _, _, key, rank = samples(part, at)
-                held.append((ids[a + doc], key, rank))
+            for a, _, part, at in tx.pieces(data, off, PIECE):
+                doc, _, _, key, rank, tags = samples(part, at)
+                held.append((ids[a + doc], key, rank, tags))
                 n += len(doc)
                 if n >= HELD:
                     yield flush(held)
@@ -137,23 +148,23 @@ def _dealt(buckets: int):
     return run
 
 
-def _replies(key: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+def _replies(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sort one bucket; (doc, rank, kind) for every sample that is settled or asked for."""
     order = np.lexsort((doc, rank, key))
-    key, rank, doc = key[order], rank[order], doc[order]
-    of_key = np.concatenate([[True], key[1:] != key[:-1]])
-    of_rank = of_key | np.concatenate([[True], rank[1:] != rank[:-1]])
-    at = np.arange(len(doc))
-    smallest = doc[np.maximum.accumulate(np.where(of_rank, at, 0))]
-    gone = doc > smallest
-    starts = np.flatnonzero(of_key)
-    number = np.cumsum(of_key) - 1
-    ranks = np.add.reduceat(of_rank.astype(np.int64), starts)
-    low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-    asked = ~gone & ((ranks > 1) & (low != high))[number]
-    kind = np.where(gone, GONE, ASKED | JUDGED * (doc > low[number]) | HOT * (ranks > MANY)[number])
-    said = gone | asked
-    return doc[said], rank[said], kind[said]
+    key, rank, doc, tags = key[order], rank[order], doc[order], tags[order]
+    of_rank = np.concatenate([[True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])])
+    gone = doc > doc[np.maximum.accumulate(np.where(of_rank, np.arange(len(doc)), 0))]
+    kind = np.zeros(len(doc), np.int64)
+    # of equal ranks the smallest document speaks for all
+    own = np.flatnonzero(~gone)
+    for tag in (tags >> _U(16), tags & _U(0xFFFF)):
+        at = own[np.lexsort((tag[own], key[own]))]
+        start = np.flatnonzero(np.concatenate([[True], (key[at][1:] != key[at][:-1]) | (tag[at][1:] != tag[at][:-1])]))
+        number = np.diff(np.append(start, len(at)))
+        many = np.minimum.reduceat(doc[at], start) != np.maximum.reduceat(doc[at], start)
+        kind[at] |= np.repeat(np.where(many, np.where(number > MANY, WINDOWS, WHOLE), 0), number)
+    said = gone | (kind > 0)
+    return doc[said], rank[said], np.where(gone, GONE, kind)[said]
 
 
 def _sorted_buckets(batches):
@@ -175,73 +186,61 @@ def _sorted_buckets(batches):
                 yield whole()
                 held = []
             bucket = row["bucket"]
-            held.append((np.cumsum(_from_planes(row["keys"]), dtype=_U), rank, doc))
+            held.append((np.cumsum(_from_planes(row["keys"]), dtype=_U), rank, doc, _from_planes(row["tags"])))
     if held:
         yield whole()
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of stretches."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
-    new = np.concatenate([[True], start[1:] > end[:-1]]) if len(start) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return start[at], end[np.concatenate([at[1:] - 1, [len(end) - 1]])] if len(at) else end
+def _said(batch, column: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Replies of the texts [first, last) of a batch: (text and rank in one number, kind), sorted."""
+    said = batch.column(column).slice(first, last - first)
+    code = said.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.nan_to_num(pc.list_value_length(said).to_numpy(zero_copy_only=False)).astype(np.int64)
+    own = np.repeat(np.arange(last - first, dtype=_U), size) << _U(48) | (code >> 2).astype(_U)
+    order = np.lexsort((code & 3, own))
+    return own[order], (code & 3)[order]
 
 
-def _finished(text: bytes, start: np.ndarray, end: np.ndarray) -> dict:
-    start, end = _merged(start, end)
-    kept = hashlib.sha256()
-    at = 0
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        kept.update(text[at:a])
-        at = b
-    kept.update(text[at:])
-    return {"n_bytes": len(text), "n_removed": int((end - start).sum()), "n_spans": len(start), "kept_sha256": kept.hexdigest()}
+def _kinds(doc: np.ndarray, rank: np.ndarray, own: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """What was said about each segment, -1 where nothing was."""
+    if not len(own):
+        return np.full(len(doc), -1)
+    want = doc.astype(_U) << _U(48) | rank
+    at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+    return np.where(own[at] == want, kind[at], -1)
 
 
-_RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-_CUTS = ("cuts", pa.list_(pa.int64()))
-_ASKED = pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
-_JUDGED = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("text", pa.string()), _CUTS, *_RESULT, ("asked", pa.list_(_ASKED))])
-_JUDGED_SQL = "doc long, th long, text string, cuts array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, asked array<struct<key: long, pos: long, bytes: binary>>"
+def _slices(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Stretches of the bytes as a binary array."""
+    size = end - start
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part[at]))])
 
 
-def _judged(batches):
-    """Apply the replies: finish documents with nothing left to ask, keep text and cuts of the others."""
+def _asked(batches):
+    """Bytes of the segments that are asked for; those of crowded keys window by window."""
+    names = ["key", "doc", "th", "pos", "bytes"]
     for batch in batches:
-        docs, ths, texts, replies = (batch.column(i) for i in range(4))
-        data, off = tx.text_bytes(texts)
-        rows = []
-        for a, b, part, at in tx.pieces(data, off, 1 << 20):
-            doc, first, last, key, rank = samples(part, at)
-            edges = np.searchsorted(doc, np.arange(b - a + 1))
-            sums = None
-            raw = part.tobytes()
-            for i in range(b - a):
-                own, said = slice(edges[i], edges[i + 1]), replies[a + i].as_py()
-                text = raw[at[i] : at[i + 1]]
-                gone, asked, open_ = np.empty((2, 0), np.int64), [], False
-                if said and edges[i + 1] > edges[i]:
-                    code = np.array(said, np.int64)
-                    kinds, ranks = code & 7, (code >> 3).astype(_U)
-                    r, f, z = rank[own], first[own] - at[i], last[own] - at[i]
-                    hit = np.isin(r, ranks[kinds == GONE])
-                    gone = np.stack([f[hit], z[hit] + LENGTH])
-                    open_ = bool((kinds & JUDGED).any())
-                    calm = np.isin(r, ranks[(kinds & ASKED > 0) & (kinds & HOT == 0)]) & ~hit
-                    hot = np.isin(r, ranks[kinds & HOT > 0]) & ~hit
-                    k = key[own].view(np.int64)
-                    asked = [{"key": int(k[j]), "pos": int(f[j]), "bytes": text[f[j] : z[j] + LENGTH]} for j in np.flatnonzero(calm)]
-                    if hot.any():
-                        sums = tx.prefix(part) if sums is None else sums
-                        pos = np.concatenate([np.arange(f[j], z[j] + 1) for j in np.flatnonzero(hot)])
-                        names = tx.span(sums, pos + at[i], pos + at[i] + LENGTH).view(np.int64)
-                        asked += [{"key": int(n), "pos": int(p), "bytes": text[p : p + LENGTH]} for n, p in zip(names, pos, strict=True)]
-                row = {"doc": docs[a + i].as_py(), "th": ths[a + i].as_py(), "asked": asked}
-                rows.append(row | ({"text": text.decode(), "cuts": gone.T.ravel().tolist()} if open_ else _finished(text, *gone)))
-            yield pa.RecordBatch.from_pylist(rows, _JUDGED)
-            rows = []
+        ids, ths = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        data, off = tx.text_bytes(batch.column(2))
+        for a, b, part, at in tx.pieces(data, off, PIECE):
+            own, kind = _said(batch, 3, a, b)
+            if not kind.any():
+                continue
+            doc, first, last, key, rank, _ = samples(part, at)
+            found = np.maximum(_kinds(doc, rank, own, kind), 0)
+            calm, hot = np.flatnonzero(found & WHOLE), np.flatnonzero(found & WINDOWS)
+            size = last[hot] - first[hot] + 1
+            pos = np.repeat(first[hot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            names_of = tx.span(tx.prefix(part), pos, pos + LENGTH) if len(pos) else pos.astype(_U)
+            d = np.concatenate([doc[calm], np.repeat(doc[hot], size)])
+            start = np.concatenate([first[calm], pos])
+            end = np.concatenate([last[calm], pos]) + LENGTH
+            keys = np.concatenate([key[calm], names_of]).view(np.int64)
+            for i in range(0, len(d), 20_000):
+                z = slice(i, i + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[z]), pa.array(ids[a + d[z]]), pa.array(ths[a + d[z]]), pa.array(start[z] - at[d[z]]), _slices(part, start[z], end[z])], names=names)
 
 
 def _compared(batches):
@@ -249,16 +248,13 @@ def _compared(batches):
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def flush(held):
-        key, doc, th, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
-        blobs = [y for x in held for y in x[4]]
-        size = np.array([len(x) for x in blobs], np.int64)
-        part = np.frombuffer(b"".join(blobs), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        key, doc, th, pos, size, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        begin = np.cumsum(size) - size
         number = size - LENGTH + 1
-        row = np.repeat(np.arange(len(blobs)), number)
+        row = np.repeat(np.arange(len(size)), number)
         step = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
         at = begin[row] + step
-        name = tx.mix(tx.span(tx.prefix(part), at, at + LENGTH) ^ key[row].astype(np.int64).view(_U))
+        name = tx.mix(tx.span(tx.prefix(part), at, at + LENGTH) ^ key[row].view(_U))
         order = np.lexsort((doc[row], name))
         new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
         d = doc[row][order]
@@ -275,32 +271,54 @@ def _compared(batches):
     held, n = [], 0
     for batch in batches:
         key, doc, th, pos = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-        blobs = batch.column(4).to_pylist()
-        if n >= HELD // 16 and len(key) and key[0] != held[-1][0][-1]:
-            yield flush(held)
-            held, n = [], 0
-        elif n >= HELD // 16:  # the key goes on: what stands before its first row can be closed
-            edge = int(np.searchsorted(key, key[0], "right"))
-            if edge < len(key):
-                held.append((key[:edge], doc[:edge], th[:edge], pos[:edge], blobs[:edge]))
+        part, off = tx.text_bytes(batch.column(4))
+        # a run may close only where the key changes
+        edge = int(np.searchsorted(key, key[0], "right")) if n and len(key) and key[0] == held[-1][0][-1] else 0
+        for a, b in ((0, edge), (edge, len(key))):
+            if a and n >= HELD // 8 or not edge and n >= HELD // 8:
                 yield flush(held)
                 held, n = [], 0
-                key, doc, th, pos, blobs = key[edge:], doc[edge:], th[edge:], pos[edge:], blobs[edge:]
-        if len(key):
-            held.append((key, doc, th, pos, blobs))
-            n += len(key)
+            if b > a:
+                held.append((key[a:b], doc[a:b], th[a:b], pos[a:b], np.diff(off[a : b + 1]), part[off[a] : off[b]]))
+                n += b - a
     if n:
         yield flush(held)
 
 
 def _closed(batches):
-    schema = pa.schema([("doc", pa.int64()), *_RESULT])
+    """Take out all that goes and hash what stays."""
+    schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for batch in batches:
-        rows = []
-        for doc, text, cuts, more in zip(*(batch.column(i) for i in range(4)), strict=True):
-            both = np.array([*cuts.as_py(), *(y for x in more.as_py() or [] for y in (x["start"], x["end"]))], np.int64).reshape(-1, 2)
-            rows.append({"doc": doc.as_py()} | _finished(text.as_py().encode(), both[:, 0], both[:, 1]))
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        ids, ths = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        data, off = tx.text_bytes(batch.column(2))
+        for a, b, part, at in tx.pieces(data, off, PIECE):
+            own, kind = _said(batch, 3, a, b)
+            edge = np.zeros(len(part) + 1, np.int32)
+            if (kind == GONE).any():
+                doc, first, last, _, rank, _ = samples(part, at)
+                gone = _kinds(doc, rank, own, kind) == GONE
+                np.add.at(edge, first[gone], 1)
+                np.add.at(edge, last[gone] + LENGTH, -1)
+            more = batch.column(4).slice(a, b - a)
+            size = np.nan_to_num(pc.list_value_length(more).to_numpy(zero_copy_only=False)).astype(np.int64)
+            if size.any():
+                flat = more.flatten()
+                th, start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                doc = np.repeat(np.arange(b - a), size)
+                mine = th == ths[a + doc]  # another text may share the id
+                np.add.at(edge, at[doc[mine]] + start[mine], 1)
+                np.add.at(edge, at[doc[mine]] + end[mine], -1)
+            out = np.cumsum(edge[:-1]) > 0
+            removed = np.concatenate([[0], np.cumsum(out)])
+            rises = out.copy()
+            rises[1:] &= ~out[:-1]
+            rises[at[:-1]] = out[at[:-1]]
+            spans = np.concatenate([[0], np.cumsum(rises)])
+            kept = memoryview(np.ascontiguousarray(part[~out]))
+            stay = at - removed[at]
+            digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(stay[:-1].tolist(), stay[1:].tolist(), strict=True)]
+            total = lambda x: x[at[1:]] - x[at[:-1]]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(at)), pa.array(total(removed)), pa.array(total(spans)), pa.array(digests, pa.string())], schema=schema)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,23 +335,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, total // BUCKET_BYTES)
-    dealt = long.select("doc", "text").mapInArrow(_dealt(buckets), "bucket long, keys binary, ranks binary, docs binary, reply boolean")
-    replies = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "doc long, rank long, kind byte")
-    replies = replies.groupBy("doc").agg(F.collect_list(F.expr("shiftleft(rank, 3) + kind")).alias("said"))
-    judged = long.join(replies, "doc", "left").select("doc", "th", "text", "said").mapInArrow(_judged, _JUDGED_SQL)
-    judged = written(judged, "judged")
-
-    asked = judged.select("doc", "th", F.explode("asked").alias("a")).select("a.key", "doc", "th", "a.pos", "a.bytes")
-    found = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "doc long, th long, start long, end long")
-    found = found.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    pending = judged.where("text is not null").select("doc", "th", "text", "cuts").join(found, ["doc", "th"], "left")
-    closed = pending.select("doc", "text", "cuts", "more").mapInArrow(_closed, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    dealt = long.select("doc", "text").mapInArrow(tx.trimmed(_dealt(buckets)), "bucket long, keys binary, ranks binary, docs binary, tags binary, reply boolean")
+    replies = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tx.trimmed(_sorted_buckets), "doc long, rank long, kind byte")
+    # dealt by document before they are gathered: partial lists would cost more than they save
+    replies = replies.select("doc", F.expr("shiftleft(rank, 2) + kind").alias("code")).repartition("doc")
+    replies = written(replies.groupBy("doc").agg(F.collect_list("code").alias("said")), "replies")
+
+    # one plan for both uses of the texts, so that their exchange is made once
+    told = long.join(replies, "doc", "left").select("doc", "th", "text", "said")
+    asked = told.mapInArrow(tx.trimmed(_asked), "key long, doc long, th long, pos long, bytes binary")
+    found = asked.repartition("key").sortWithinPartitions("key").mapInArrow(tx.trimmed(_compared), "doc long, th long, start long, end long")
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("th", "start", "end")).alias("more"))
+    closed = told.join(found, "doc", "left").select("doc", "th", "text", "said", "more").mapInArrow(tx.trimmed(_closed), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     result = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     number = lambda n: F.lit(n).cast("long")
     short = docs.where(f"doc is null or octet_length(text) < {LENGTH}").select("doc", F.octet_length("text").cast("long").alias("n_bytes"), number(0).alias("n_removed"), number(0).alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     same = copies.select("doc", "n_bytes", F.col("n_bytes").alias("n_removed"), number(1).alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
-    out = judged.where("text is null").select(*result).union(closed.select(*result)).union(short.select(*result)).union(same.select(*result))
+    out = closed.select(*result).union(short.select(*result)).union(same.select(*result))
     return out.withColumnRenamed("doc", "doc_id")
 
 

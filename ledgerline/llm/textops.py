@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -125,3 +126,24 @@ def gaps(expression: str) -> np.ndarray:
     out = np.zeros(256, bool)
     out[[ord(c) for c in expression]] = True
     return out
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over batches that gives its memory back to the system when it is through.
+
+    Python workers are kept for later tasks; what they have freed but not returned would
+    otherwise stand beside the memory of the next stage.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
