@@ -10,12 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ledgerline import keys
 from ledgerline.functions import crypto
 from ledgerline.operators import rules
 from ledgerline.pipeline import load_and_merge
 from ledgerline.plans import exports, verify
 from ledgerline.plans.merge import commands_of
-from ledgerline.sinks import disclose, write_bundle
+from ledgerline.sinks import anchor, disclose, write_bundle
 from ledgerline.sources import captures
 from ledgerline.sources.files import read_files
 from ledgerline.sources.rulesets import load_key_catalog, load_ruleset
@@ -60,7 +61,30 @@ def check(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def share(spark: SparkSession, a: argparse.Namespace) -> int:
-    disclose(spark, a.bundle, a.out, a.events, a.fields, tuple(a.include or ()), time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime()))
+    disclose(spark, a.bundle, a.out, a.events, a.fields, tuple(a.include or ()), time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime()), json.loads(Path(a.earlier).read_text()) if a.earlier else None)
+    return 0
+
+
+def date(spark: SparkSession, a: argparse.Namespace) -> int:
+    key = json.loads(Path(a.key).read_text())
+    token = Path(a.token).read_bytes() if a.token else None
+    anchor(spark, a.bundle, token, time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime()), bytes.fromhex(key["private"]), key["public"], a.force)
+    return 0
+
+
+def consistency(spark: SparkSession, a: argparse.Namespace) -> int:
+    rows = verify.run(verify.Bundle(spark, a.disclosure), ((verify.check_consistency, False),))
+    print("\n".join(f"{status:8}{name}: {detail}" for name, status, detail in rows))
+    return int(any(r[1] == verify.FAIL for r in rows))
+
+
+def catalog(spark: SparkSession, a: argparse.Namespace) -> int:
+    at = time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime())
+    if a.rotate:
+        keys.rotated(a.catalog, *a.rotate, at)
+    if a.revoke:
+        keys.revoked(a.catalog, a.revoke, at, a.reason)
+    print(json.dumps(load_key_catalog(a.catalog), indent=2))
     return 0
 
 
@@ -128,7 +152,23 @@ def main(args: list[str]) -> int:
     one.add_argument("--events", default="all")
     one.add_argument("--fields", default="all")
     one.add_argument("--include", nargs="*")
+    one.add_argument("--earlier")
     one.set_defaults(run=share)
+    one = sub.add_parser("anchor")
+    one.add_argument("bundle")
+    one.add_argument("--key", required=True)
+    one.add_argument("--token")
+    one.add_argument("--force", action="store_true")
+    one.set_defaults(run=date)
+    one = sub.add_parser("consistency")
+    one.add_argument("disclosure")
+    one.set_defaults(run=consistency)
+    one = sub.add_parser("keys")
+    one.add_argument("catalog")
+    one.add_argument("--rotate", nargs=2, metavar=("OLD", "NEW"))
+    one.add_argument("--revoke")
+    one.add_argument("--reason")
+    one.set_defaults(run=catalog)
     one = sub.add_parser("export")
     one.add_argument("bundle")
     one.add_argument("--format", choices=("actions", "receipts", "statement"), default="actions")

@@ -100,6 +100,15 @@ def verify_text(manifest: dict) -> str:
     return f"Bundle {manifest['bundleId']}\nMode {manifest['producer']['mode']}\nRoot {manifest['rootHash']}\nMerkle root {manifest.get('merkleRoot')}\n\nCheck it with: python -m ledgerline verify <folder>\n"
 
 
+def certification_text(manifest: dict, custodian: str = "[name]") -> str:
+    """A custodian's statement that a digital record was made by a process and is unchanged."""
+    return (
+        f"CERTIFICATION OF A RECORD GENERATED BY AN ELECTRONIC PROCESS\n\nI, {custodian}, certify that bundle {manifest['bundleId']} was made by {manifest['producer']['tool']} {manifest['producer']['version']} "
+        f"on {manifest['producedAt']} from the session {manifest['session']['sessionId']}, that its events hash to the root {manifest['rootHash']} and to the Merkle root {manifest.get('merkleRoot')}, "
+        f"and that the process records {manifest['counts']['gaps']} gaps where its sources show less than happened.\n\nSigned: ______________________  Date: ______________\n"
+    )
+
+
 # --- action records, one chain per session -----------------------------------------------
 
 _RECORD = "id string, record string, prev_hash string"

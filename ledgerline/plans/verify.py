@@ -315,7 +315,15 @@ def check_anchor(b: Bundle) -> list:
     if anchor is None:
         return [("anchor-status", WARN, "sealed without a timestamp and not anchored since")]
     want = hashlib.sha256(signing_form(b.manifest).encode()).hexdigest()
-    return [("anchor-status", PASS if anchor.get("manifestHash") == want else FAIL, "anchored later")]
+    body = {k: v for k, v in anchor.items() if k not in ("publicKey", "signature")}
+    try:
+        own = crypto.fingerprint(anchor["publicKey"]) == b.manifest["producer"].get("keyFingerprint")
+        signed = crypto.verify(b.spark, anchor["publicKey"], jcs.canonical(body).encode(), base64.b64decode(anchor["signature"]))
+        dated = anchor.get("tokenBase64") is None or crypto.timestamp_info(base64.b64decode(anchor["tokenBase64"]))["imprint"] == want
+    except (ValueError, KeyError, IndexError, StopIteration) as e:
+        return [("anchor-status", FAIL, f"the anchor cannot be read: {e}")]
+    good = anchor.get("manifestHash") == want and own and signed and dated
+    return [("anchor-status", PASS if good else FAIL, "anchored later" if good else f"manifest {anchor.get('manifestHash') == want}, key {own}, signature {signed}, token {dated}")]
 
 
 def check_artifacts(b: Bundle) -> list:
@@ -485,6 +493,16 @@ def check_inclusion(b: Bundle) -> list:
     return [("disclosure-inclusion", PASS, "every position is proven")]
 
 
+def check_consistency(b: Bundle) -> list:
+    """Whether the tree grew from the one of an earlier disclosure, where one is named."""
+    d = _disclosure(b)
+    c = d.get("consistency")
+    if c is None:
+        return [("tree-consistency", SKIPPED, "no earlier disclosure is named")]
+    good = consistent(bytes.fromhex(c["merkleRoot"]), c["leafCount"], bytes.fromhex(d["merkleRoot"]), d["leafCount"], [bytes.fromhex(h) for h in c["proof"]])
+    return [("tree-consistency", PASS if good else FAIL, f"from {c['leafCount']} to {d['leafCount']} leaves")]
+
+
 def check_disclosure_openings(b: Bundle) -> list:
     ((_, status, detail),) = check_commitments(b, complete=False)
     return [("disclosure-commitments", status, detail)]
@@ -504,6 +522,7 @@ DISCLOSURE_ORDER: tuple[tuple[Check, bool], ...] = (
     (check_inclusion, False),
     (check_disclosure_openings, False),
     (check_disclosure_files, False),
+    (check_consistency, False),
     (check_timestamps, False),
     (check_anchor, False),
 )

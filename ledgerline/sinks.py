@@ -173,6 +173,25 @@ def write_bundle(spark: SparkSession, events: DataFrame, root: str, *, bundle_id
     return manifest
 
 
+def anchor(spark: SparkSession, root: str, token: bytes | None, at: str, private: bytes, public_pem: str, force: bool = False) -> dict:
+    """Date a sealed bundle later: a countersigned statement over what was signed.
+
+    An anchored bundle stays as it is unless forced. A token must be over the manifest.
+    """
+    folder = Path(root)
+    if (folder / "anchor.json").exists() and not force:
+        return json.loads((folder / "anchor.json").read_text())
+    manifest = json.loads((folder / "manifest.json").read_text())
+    digest = hashlib.sha256(signing_form(manifest).encode()).hexdigest()
+    if token is not None and crypto.timestamp_info(token)["imprint"] != digest:
+        raise ValueError("the timestamp is over something else")
+    body = {"schemaVersion": 1, "bundleId": manifest["bundleId"], "manifestHash": digest, "anchoredAt": at, "tokenBase64": base64.b64encode(token).decode() if token else None}
+    signature = crypto.sign(spark, private, jcs.canonical(body).encode())
+    document = body | {"publicKey": public_pem, "signature": base64.b64encode(signature).decode()}
+    (folder / "anchor.json").write_text(jcs.canonical(document))
+    return document
+
+
 # --- disclosure --------------------------------------------------------------------------
 
 
@@ -204,9 +223,12 @@ def field_selection(spec: str) -> str | set[str]:
     return parts
 
 
-def disclose(spark: SparkSession, bundle: str, target: str, events: str, fields: str = "all", files: tuple[str, ...] = (), produced_at: str = "") -> dict:
-    """Write the chosen events of a bundle, byte for byte, with proofs for every position."""
-    from ledgerline.plans.verify import read_bundle
+def disclose(spark: SparkSession, bundle: str, target: str, events: str, fields: str = "all", files: tuple[str, ...] = (), produced_at: str = "", earlier: dict | None = None) -> dict:
+    """Write the chosen events of a bundle, byte for byte, with proofs for every position.
+
+    earlier: a disclosure document of a shorter tree; the new one proves that it grew from it.
+    """
+    from ledgerline.plans.verify import consistency_proof, read_bundle, root_of
 
     source, out = Path(bundle), Path(target)
     manifest = json.loads((source / "manifest.json").read_text())
@@ -247,6 +269,12 @@ def disclose(spark: SparkSession, bundle: str, target: str, events: str, fields:
         "includedFiles": sorted(files),
         "consistency": None,
     }
+    if earlier is not None:
+        hashes = [hashlib.sha256(b"\0" + bytes.fromhex(p.chain_hash)).digest() for p in places]
+        m = earlier["leafCount"]
+        if not 0 < m <= len(hashes) or root_of(hashes[:m]).hex() != earlier["merkleRoot"]:
+            raise ValueError("the earlier disclosure is not of a prefix of this bundle")
+        document["consistency"] = {"leafCount": m, "merkleRoot": earlier["merkleRoot"], "proof": [h.hex() for h in consistency_proof(hashes, m)]}
     (out / "disclosure.json").write_text(json.dumps(document, indent=2))
     rows.unpersist()
     return document

@@ -175,3 +175,51 @@ def test_exports_are_chained(spark, bundle, key):
         assert crypto.verify(spark, key[0], jcs.canonical(s["payload"]).encode(), base64.b64decode(s["signature"]["sig"]))
     statement = exports.statement(spark, json.loads((bundle / "manifest.json").read_text()), key[1], key[0])
     assert statement[0] == 0xD2
+
+
+def test_anchoring(spark, bundle, key, tmp_path):
+    from ledgerline.sinks import anchor
+
+    shutil.copytree(bundle, tmp_path / "a")
+    made = anchor(spark, str(tmp_path / "a"), None, "2025-02-01T00:00:00.000Z", key[1], key[0])
+    assert anchor(spark, str(tmp_path / "a"), None, "2026-01-01T00:00:00.000Z", key[1], key[0]) == made
+    got = statuses(spark, tmp_path / "a")
+    assert got["anchor-status"] == "PASS" and "FAIL" not in got.values()
+    (tmp_path / "a/anchor.json").write_text(json.dumps(made | {"anchoredAt": "2024-01-01T00:00:00.000Z"}))
+    assert statuses(spark, tmp_path / "a")["anchor-status"] == "FAIL"
+    with pytest.raises((ValueError, IndexError)):
+        anchor(spark, str(bundle), b"\x30\x00", "2025-02-01T00:00:00.000Z", key[1], key[0])
+
+
+def test_growth_is_proven(spark, key, tmp_path):
+    documents = []
+    for n in (6, 9):
+        root = tmp_path / str(n)
+        write_bundle(spark, spark.createDataFrame(rows()[:n], SHAPE), str(root), bundle_id="B", produced_at="2025-01-02T00:00:00.000Z", seed="seed", private=key[1], public_pem=key[0])
+        documents.append(disclose(spark, str(root), str(tmp_path / f"d{n}"), "0", earlier=documents[-1] if documents else None))
+    assert statuses(spark, tmp_path / "d9")["tree-consistency"] == "PASS"
+    held = json.loads((tmp_path / "d9/disclosure.json").read_text())
+    held["consistency"]["proof"][0] = "00" * 32
+    (tmp_path / "d9/disclosure.json").write_text(json.dumps(held))
+    assert statuses(spark, tmp_path / "d9")["tree-consistency"] == "FAIL"
+    with pytest.raises(ValueError):
+        disclose(spark, str(tmp_path / "9"), str(tmp_path / "x"), "0", earlier=documents[0] | {"merkleRoot": "00" * 32})
+
+
+def test_key_catalog(tmp_path):
+    from ledgerline import keys
+
+    path = str(tmp_path / "keys.json")
+    keys.added(path, "A", "t0")
+    keys.rotated(path, "A", "B", "t1")
+    keys.revoked(path, "a", "t2", "lost")
+    found = {k["fingerprint"]: k["status"] for k in keys.rotated(path, "A", "C", "t3")}
+    assert found == {"A": "revoked", "B": "active", "C": "active"}
+    with pytest.raises(KeyError):
+        keys.revoked(path, "Z", "t")
+
+
+def test_timestamp_requests():
+    made = crypto.timestamp_request(bytes(32), b"\xff" * 8)
+    top = crypto.children(crypto.der(made)[1])
+    assert [t for t, _ in top] == [0x02, 0x30, 0x02, 0x01] and crypto.children(top[1][1])[1] == (0x04, bytes(32))
