@@ -115,7 +115,8 @@ def _searched(k: int):
             for row in batch.to_pylist():
                 dim = row["dim"]
                 ids, qids = (np.frombuffer(row[c], np.int64) for c in ("ids", "qids"))
-                rows, queries = (np.frombuffer(row[c], np.int64).reshape(-1, dim) for c in ("vals", "qvals"))
+                numbers = lambda c, n: (np.frombuffer(row[c], np.int64) if row[c] else np.zeros(0, np.int64)).reshape(n, dim)  # noqa: B023, E731
+                rows, queries = numbers("vals", len(ids)), numbers("qvals", len(qids))
                 most = float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).sum(axis=1).max(initial=0))
                 kind = np.float64 if most < 2**53 else object
                 rows, queries = rows.astype(kind), queries.astype(kind)
