@@ -30,9 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
+    """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    Tables of one application stand in a folder of its id, to be dropped when it is over.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
