@@ -66,7 +66,7 @@ def claim_effects(effects: DataFrame, intents: DataFrame, window_ms: int) -> Dat
     recorded, correlated, late (the intent was claimed before) and none (intent_seq null).
 
     Recorded ids bind set-wise. The greedy part is order-dependent, so only sessions that
-    hold an effect without a known intent are walked, one group each.
+    hold an effect without a known intent are walked, one after another in each task.
     """
     recorded = claim_recorded(effects, intents)
     loose = effects.join(recorded.select("session", "seq"), ["session", "seq"], "left_anti")
@@ -77,35 +77,49 @@ def claim_effects(effects: DataFrame, intents: DataFrame, window_ms: int) -> Dat
     rows = effects.join(walked, "session", "left_semi").join(known, ["session", "seq"], "left").select("session", F.lit(True).alias("effect"), "seq", "ms", F.col("input_hash").alias("hash"), "known")
     rows = rows.unionByName(intents.join(walked, "session", "left_semi").select("session", F.lit(False).alias("effect"), F.col("intent_seq").alias("seq"), F.col("intent_ms").alias("ms"), F.col("intent_hash").alias("hash"), F.lit(None).cast("long").alias("known")))
 
-    def walk(group):
-        import pandas as pd
-
-        group = group.sort_values("seq", kind="stable")
-        by_hash: dict = {}
-        for seq, ms, own in group.loc[~group.effect, ["seq", "ms", "hash"]].itertuples(index=False):
-            if own is not None and own == own:
+    def bound(rows):
+        """Claims of one session's rows (effect, seq, ms, hash, known), in order."""
+        by_hash, taken, out = {}, set(), []
+        for effect, seq, ms, own, _ in rows:
+            if not effect and own is not None:
                 by_hash.setdefault(own, []).append((ms, seq))
-        taken, out = set(), []
-        for seq, ms, own, known in group.loc[group.effect, ["seq", "ms", "hash", "known"]].itertuples(index=False):
-            if pd.notna(known):
-                out.append((seq, int(known), "late" if known in taken else "recorded"))
-                taken.add(int(known))
+        for effect, seq, ms, own, known in rows:
+            if not effect:
+                continue
+            if known is not None:
+                out.append((seq, known, "late" if known in taken else "recorded"))
+                taken.add(known)
                 continue
-            near = [(abs(t - ms), t, s) for t, s in by_hash.get(own, ()) if s not in taken and abs(t - ms) <= window_ms]
+            near = [(abs(t - ms), s) for t, s in by_hash.get(own, ()) if s not in taken and abs(t - ms) <= window_ms]
             if near:
-                # the nearest, of equals the one met first in order
-                gap = min(x[0] for x in near)
-                s = min(s for g, _, s in near if g == gap)
-                out.append((seq, int(s), "correlated"))
+                gap, s = min(near)  # the nearest, of equals the one met first
+                out.append((seq, s, "correlated"))
                 taken.add(s)
             else:
                 out.append((seq, None, "none"))
-        found = pd.DataFrame(out, columns=["seq", "intent_seq", "how"])
-        found["intent_seq"] = found["intent_seq"].astype("Int64")
-        found.insert(0, "session", group["session"].iloc[0] if len(group) else None)
-        return found
+        return out
+
+    def walk(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("session", pa.string()), ("seq", pa.int64()), ("intent_seq", pa.int64()), ("how", pa.string())])
+        own, held = None, []
+
+        def closed():
+            return pa.RecordBatch.from_pylist([{"session": own, "seq": s, "intent_seq": i, "how": h} for s, i, h in bound(held)], schema)
+
+        for batch in batches:
+            for session, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if session != own and held:
+                    yield closed()
+                    held = []
+                own = session
+                held.append(row)
+        if held:
+            yield closed()
 
-    return plain.unionByName(rows.groupBy("session").applyInPandas(walk, _CLAIMS))
+    dealt = rows.repartition("session").sortWithinPartitions("session", "seq", "effect")
+    return plain.unionByName(dealt.mapInArrow(walk, _CLAIMS))
 
 
 def last_value_before(events: DataFrame, at: list[str], seq: str, known: str, value: list[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from ledgerline.functions.shell import words
 from ledgerline.operators import correlate, gaps, timeline
 from ledgerline.plans.relational import described, truncated
 from ledgerline.sources.events import payload_json, wall_ms
+from ledgerline.tables import kept
 
 WINDOW_MS = 5000
 #: Fixed value: the source that marks an intent which an effect must close.
@@ -143,8 +144,8 @@ def _relinked(payload: pd.Series, name: pd.Series, value: pd.Series, source: pd.
 
 def merge(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """The timeline: originals with linked_pre, linked_effect, linked_intent, and gap events among them."""
-    rows = ordered(events)
-    found = links(rows, window_ms)
+    rows = kept(ordered(events), "timeline")  # every correlation reads it
+    found = {name: kept(df, f"links-{name}") for name, df in links(rows, window_ms).items()}
     ids = rows.select("session", F.col("at").alias("_at"), F.col("id").alias("_id"))
 
     def linked(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
