@@ -366,14 +366,20 @@ def check_files(b: Bundle, only: list[str] | None = None) -> list:
 
 
 def check_attestations(b: Bundle) -> list:
-    held, stated = b.json("attestations/signatures.json"), b.manifest.get("signatures") or []
-    if held is None and not stated:
-        return [("attestation-files", PASS, "nothing to bind")]
-    same = held == stated
-    tokens = sorted((b.path / UNMAPPED_BELOW).glob("*.tsr")) if (b.path / UNMAPPED_BELOW).is_dir() else []
-    known = {hashlib.sha256(base64.b64decode(t["tokenBase64"])).hexdigest() for t in b.manifest.get("timestamps") or []}
-    extra = [t.name for t in tokens if hashlib.sha256(t.read_bytes()).hexdigest() not in known]
-    return [("attestation-files", PASS if same and not extra else FAIL, "files and manifest agree" if same and not extra else f"signatures agree: {same}; unknown tokens: {extra}")]
+    """Signature blocks by position and tokens by name are those of the manifest, and no others."""
+    problems, folder = [], b.path / UNMAPPED_BELOW
+    held = b.json("attestations/signatures.json")
+    if not isinstance(held, dict) or held.get("blocks") != (b.manifest.get("signatures") or []):
+        problems.append("signatures.json is not what the manifest holds")
+    wanted = {f"{n}.tsr": t.get("tokenBase64", "") for n, t in enumerate(b.manifest.get("timestamps") or [])}
+    found = {f.name for f in folder.iterdir() if f.is_file()} if folder.is_dir() else set()
+    for name, token in wanted.items():
+        if name not in found:
+            problems.append(f"{name} is missing")
+        elif base64.b64encode((folder / name).read_bytes()).decode() != token:
+            problems.append(f"{name} is not the manifest's token")
+    problems += [f"{name} is named by nothing" for name in sorted(found - set(wanted) - {"anchor.tsr"})]
+    return [("attestation-files", FAIL if problems else PASS, _shown(problems) or "files and manifest agree")]
 
 
 def check_complete(b: Bundle) -> list:

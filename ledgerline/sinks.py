@@ -167,7 +167,7 @@ def write_bundle(spark: SparkSession, events: DataFrame, root: str, *, bundle_id
         signature = crypto.sign(spark, private, signing_form(manifest).encode())
         manifest["signatures"] = [{"scheme": "ed25519", "publicKey": public_pem, "signature": base64.b64encode(signature).decode(), "signedFields": "manifest.json"}]
         manifest["anchorStatus"] = "pending"
-        (folder / "attestations/signatures.json").write_text(json.dumps(manifest["signatures"]))
+    (folder / "attestations/signatures.json").write_text(json.dumps({"blocks": manifest["signatures"]}))
     (folder / "manifest.json").write_text(jcs.canonical(manifest))
     sealed.unpersist()
     return manifest
