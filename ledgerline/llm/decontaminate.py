@@ -2,14 +2,16 @@
 
 1. Word k-gram hashes of every text, at every `stride`-th place, are joined to those of the
    benchmark items. A window that is similar enough differs from its item in so few k-grams
-   that some of these places hit, and how many is known; texts with as many hits of an item
-   get an item-sized window on the diagonal of every hit. The stride is the largest one, up
-   to STRIDE, that leaves at least one such hit for every item.
-2. Each window and each item gets a 64-bit SimHash of its weighted shingles (the weight
+   that some of these places hit, and how many is known; only texts with as many hits of an
+   item go on with it. The stride is the largest one, up to STRIDE, that leaves at least one
+   such hit for every item; it chooses the texts, not the windows.
+2. In these texts every place is looked up in the item, and an item-sized window stands at
+   every start whose places hold as many hits as a similar window has at least.
+3. Each window and each item gets a 64-bit SimHash of its weighted shingles (the weight
    is how often a shingle occurs).
-3. Fingerprints are cut into radius + 1 blocks; two that differ in at most `radius` bits
+4. Fingerprints are cut into radius + 1 blocks; two that differ in at most `radius` bits
    agree in a whole block, so joining on (item size, block, value) misses none of them.
-4. Pairs within the radius are verified by the exact weighted Jaccard similarity.
+5. Pairs within the radius are verified by the exact weighted Jaccard similarity.
 
 At similarity 0.8 two fingerprints differ in 10 bits on average with a deviation of 3;
 a radius of 20 loses about one in ten thousand of those, and no copy.
@@ -54,9 +56,20 @@ def _hits(size: str, stride: int, percent: int) -> str:
     return f"floor({percent} * {size} / {100 * stride}) - floor({100 - percent} * {size} / {100 + percent})"
 
 
+def _starts(places: str, size: str, least: str, last: str) -> str:
+    """SQL: every start up to `last` whose `size` places hold `least` of the ascending places."""
+    low, high = f"greatest(0, {places}[i + {least} - 1] - {size} + 1)", f"least({places}[i], {last})"
+    ranges = f"transform(sequence(0, size({places}) - {least}), i -> if({low} <= {high}, sequence({low}, {high}, 1), cast(array() as array<int>)))"
+    return f"if(size({places}) >= {least}, array_distinct(flatten({ranges})), cast(array() as array<int>))"
+
+
 def _simhash(shingles: str) -> str:
+    """SQL: bit b is set if more than half of the shingles set it; four bits are counted at once, 16 bits apart."""
+    ones = f"aggregate({shingles}, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & {0x0001000100010001}L))"
+    bits = " | ".join(f"if(2 * (shiftrightunsigned(y, {16 * q}) & 65535L) > size({shingles}), shiftleft(1L, b + {16 * q}), 0L)" for q in range(4))
+    counted = f"aggregate(sequence(0, 15), 0L, (f, b) -> f | element_at(transform(array({ones}), y -> {bits}), 1))"
     vote = f"aggregate({shingles}, 0, (s, x) -> s + if((shiftrightunsigned(x, b) & 1L) = 1L, 1, -1))"
-    return f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if({vote} > 0, shiftleft(1L, b), 0L))"
+    return f"if(size({shingles}) <= 65535, {counted}, aggregate(sequence(0, 63), 0L, (f, b) -> f | if({vote} > 0, shiftleft(1L, b), 0L)))"
 
 
 def _blocks(value: str, radius: int) -> str:
@@ -75,27 +88,27 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT,
     short = bench.agg(*[F.min(F.expr(_hits("size(sh)", t, percent))) for t in range(2, STRIDE + 1)]).first()
     stride = max([t for t, least in zip(range(2, STRIDE + 1), short, strict=True) if (least or 0) > 0], default=1)
     need = F.greatest(F.lit(1), F.expr(_hits("size(sh)", stride, percent))).alias("need")
-    seeds = written(bench.select("item_id", "m", need, F.posexplode("sh").alias("ipos", "h")), "item-shingles")
+    bodies = written(bench.select(F.xxhash64("m", "sh").alias("body"), "m", F.col("sh").alias("ish")).distinct(), "item-bodies")
+    seeds = written(bench.select(F.xxhash64("m", "sh").alias("body"), need, F.explode("sh").alias("h")).distinct(), "item-shingles")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), hashed(text_col).alias("w")).where("size(w) > 0")
-    hits = texts.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", k, stride))).alias("nth", "h"))
+    # asked of the text, as a filter on its words would cut them twice
+    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).where(folded(F.col("text")).rlike(WORD))
+    hits = worded.select("doc_id", "th", hashed("text").alias("w")).select("doc_id", "th", F.posexplode(F.expr(_shingles("w", k, stride))).alias("nth", "h"))
     hits = join_small(hits, seeds, ["h"], "inner", 10 * BROADCAST_ROWS)
-    # a window that would end behind the text starts as early as the text allows
-    start = F.greatest(F.lit(0), F.least(F.col("nth") * stride - F.col("ipos"), F.col("n") - F.col("m")))
-    hits = hits.select("doc_id", "th", "item_id", "need", "m", "nth", start.alias("start"))
-    placed = hits.groupBy("doc_id", "th", "item_id", "need", "m").agg(F.collect_set("start").alias("start"), F.size(F.collect_set("nth")).alias("met"))
-    placed = placed.where("met >= need").select("doc_id", "th", F.struct("m", "start").alias("at"))
-    placed = written(placed.groupBy("doc_id", "th").agg(F.collect_set("at").alias("at")), "windows")
-
-    again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = placed.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
-    found = again.join(F.broadcast(side) if small else side, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    found = found.select("doc_id", "th", "at", hashed("text").alias("w"))
-    windows = "flatten(transform(at, a -> transform(a.start, s -> struct(a.m as m, s as start, slice(w, s + 1, a.m) as w))))"
-    found = found.select("doc_id", "th", F.explode(F.expr(windows)).alias("x")).select("doc_id", "th", "x.m", "x.start", "x.w").distinct()
-    found = found.select("doc_id", "th", "m", "start", F.expr(_shingles("w", k)).alias("sh"))
-    found = found.withColumn("fp", F.expr(_simhash("sh")))
+    near = hits.groupBy("doc_id", "th", "body", "need").agg(F.size(F.collect_set("nth")).alias("met")).where("met >= need")
+    near = written(near.groupBy("doc_id", "th").agg(F.collect_set("body").alias("bodies")), "candidates")
+
+    small = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = near.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "bodies")
+    found = worded.join(F.broadcast(side) if small else side, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    found = found.select("doc_id", "th", "bodies", hashed("text").alias("w")).select("doc_id", "th", "bodies", F.expr(_shingles("w", k)).alias("g"))
+    found = join_small(found.select("doc_id", "th", "g", F.explode("bodies").alias("body")), bodies, ["body"], "inner")
+    found = found.withColumn("long", F.expr("least(size(g), size(ish))")).withColumn("places", F.expr("filter(sequence(0, size(g) - 1), p -> array_contains(ish, g[p]))"))
+    # what two sets of shingles share is at least this much of their sizes, or they are not similar
+    found = found.withColumn("least", F.expr(f"cast(ceil({percent} * (long + size(ish)) / {100 + percent}) as int)"))
+    found = found.withColumn("start", F.expr(_starts("places", "long", "least", "(size(g) - long)")))
+    found = found.select("doc_id", "th", "m", F.explode(F.expr("transform(start, s -> struct(s as start, slice(g, s + 1, long) as sh))")).alias("x"))
+    found = found.select("doc_id", "th", "m", "x.start", "x.sh").withColumn("fp", F.expr(_simhash("sh")))
     keyed = found.select("*", F.posexplode(F.expr(_blocks("fp", radius))).alias("block", "bits"))
     blocks = bench.select("item_id", "m", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), F.posexplode(F.expr(_blocks("fp", radius))).alias("block", "bits"))
     pairs = join_small(keyed, written(blocks, "item-blocks"), ["m", "block", "bits"], "inner")
@@ -103,6 +116,8 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT,
     pairs = pairs.where(f"bit_count(fp ^ ifp) <= {radius}").where(f"block = array_position({_blocks('(fp ^ ifp)', radius)}, 0L) - 1")
     n = lambda a: f"cast(size(filter({a}, y -> y = x)) as long)"
     both = f"aggregate(array_distinct(sh), 0L, (s, x) -> s + least({n('sh')}, {n('ish')}))"
+    # where either side repeats nothing, what is shared is counted once
+    both = f"if(size(array_distinct(sh)) = size(sh) or size(array_distinct(ish)) = size(ish), cast(size(array_intersect(sh, ish)) as long), {both})"
     pairs = pairs.withColumn("both", F.expr(both)).withColumn("all", F.expr("size(sh) + size(ish)") - F.col("both"))
     pairs = pairs.where(f"100 * both >= {percent} * all").withColumn("similarity", F.col("both") / F.col("all"))
     best = pairs.groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("similarity", F.negative("start").alias("s"))).alias("best"))

@@ -140,6 +140,27 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.leaks(odd(spark), items.limit(0)).count() == 0
 
 
+def own_leaks(spark, rng, pairs):
+    """(what leaks finds, brute force) of each text against its own item, between other words."""
+    docs = [(i, f"{words(rng, rng.randrange(20, 60), 9000)} {text} {words(rng, rng.randrange(20, 60), 9000)}", None, None, None) for i, (_, text) in enumerate(pairs)]
+    bench = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    return got, set().union(*(leaked([d[:2]], [(i, pairs[i][0])]) for i, d in enumerate(docs)))
+
+
+def test_decontamination_finds_windows_that_start_beside_the_hits(spark):
+    rng, pairs = random.Random(21), []
+    for _ in range(300):
+        body = words(rng, rng.randrange(70, 110), 9000).split()
+        text = list(body)
+        del text[-rng.randrange(2, 12)]
+        for _ in range(rng.randrange(1, 4)):
+            text.insert(rng.randrange(1, 12), f"put{rng.randrange(10**6)}")
+        pairs.append((" ".join(body), " ".join(text)))
+    got, want = own_leaks(spark, rng, pairs)
+    assert got == want and len(want) > 100
+
+
 @pytest.mark.parametrize("scale", [1.0, 2e7])
 def test_topk_search_is_exact(spark, monkeypatch, scale):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 64)
