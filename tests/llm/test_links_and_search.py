@@ -161,6 +161,16 @@ def test_decontamination_finds_windows_that_start_beside_the_hits(spark):
     assert got == want and len(want) > 100
 
 
+def test_decontamination_finds_swapped_parts(spark):
+    rng, pairs = random.Random(22), []
+    for _ in range(60):
+        body = words(rng, rng.randrange(40, 90), 9000).split()
+        cut = len(body) // 2 + rng.randrange(-8, 9)
+        pairs.append((" ".join(body), " ".join(body[cut:] + body[:cut])))
+    got, want = own_leaks(spark, rng, pairs)
+    assert got == want and len(want) == 60
+
+
 @pytest.mark.parametrize("scale", [1.0, 2e7])
 def test_topk_search_is_exact(spark, monkeypatch, scale):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 64)
