@@ -6,6 +6,10 @@ the bins of a shard are kept ordered by residual room, each with a bitmap of its
 and one of its duplicate clusters, and the search goes on from the tightest bin that has
 room to its successors until one holds neither the source nor the cluster.
 
+The cluster of a text is its group of near copies where `clusters` names one (the query
+takes the components of near_dedup.link, five-word shingles, similarity 0.8); without
+`clusters` and `cluster`, only texts equal but for case are in conflict.
+
 Remainders are dealt by hash to shards of about `shard_rows`, whose number follows the
 input; a shard is packed by one task that reads its rows in order, so memory is bounded.
 
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import folded, table, written
+from ledgerline.llm import near_dedup
+from ledgerline.llm.common import folded, join_small, table, written
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -81,11 +86,19 @@ def _packer(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """doc_id, piece, start_token, n_tokens, bin_id: one row per piece of every text."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, cluster: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """doc_id, piece, start_token, n_tokens, bin_id: one row per piece of every text.
+
+    clusters (th, component): the cluster of the texts of that hash, a written table; others are their own.
+    """
     source = F.col("source") if source is None else source
+    if clusters is not None:
+        cluster = F.xxhash64(F.col(text_col))
     cluster = F.xxhash64(folded(F.col(text_col))) if cluster is None else cluster
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n"), source.alias("source"), cluster.alias("cluster"))
+    if clusters is not None:
+        rows = join_small(rows.withColumnRenamed("cluster", "th"), clusters, ["th"])
+        rows = rows.select("doc_id", "n", "source", F.coalesce("component", "th").alias("cluster"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "measured")
     rest = rows.where(f"n % {capacity} > 0")
     shards = max(1, -(-rest.count() // shard_rows))
@@ -102,5 +115,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     return full.union(part)
 
 
+def copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(th, component) of the texts that have near copies; by hash of the text, as ids may be null or repeat."""
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    linked = near_dedup.link(texts, id_col="th").where("component_id <> doc_id")
+    return written(linked.select(F.col("doc_id").alias("th"), F.col("component_id").alias("component")).distinct(), "copies")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, clusters=copies(docs))

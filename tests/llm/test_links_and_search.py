@@ -243,3 +243,16 @@ def test_packing_places_every_token(spark):
     schema = spark.createDataFrame([(1, "a b c", None, None, None)], DOCS)
     assert packing.pack(schema, capacity=2).orderBy("piece").select("piece", "start_token", "n_tokens").collect() == [(0, 0, 2), (1, 2, 1)]
     assert packing.pack(frame(spark, rows), source=F.lit("x"), capacity=32).where("bin_id is not null").groupBy("bin_id").count().where("count > 1").count() == 0
+
+
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rng, rows = random.Random(23), []
+    for i in range(12):  # pairs of near copies from two sources, with repeated and null ids
+        text = words(rng, 60 + i, 9000)
+        rows += [(i, text, "en", "a", 1), (None if i % 3 == 0 else i if i % 3 == 1 else 100 + i, text + " more", "en", "b", 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(len(r[1].split()) for r in rows)
+    size = {(len(r[1].split()), r[0]): i // 2 for i, r in enumerate(rows)}
+    held = [(r.bin_id, size[r.n_tokens, r.doc_id]) for r in got]
+    assert len(set(held)) == len(held)
