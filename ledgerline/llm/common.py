@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: What counts as a word of folded text, and what stands between words.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 #: Rows up to which a keyed side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Keys up to which a bitmap of them may be broadcast, at BITS bits (so 2 bytes) a key.
+MARKED_KEYS = 16_000_000
+BITS = 16
+#: Fixed value: bits in one bitmap of bitmap_construct_agg().
+BITMAP = 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +66,42 @@ def folded(text: Column) -> Column:
     lower case is such a letter (the Kelvin sign) is put aside first.
     """
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+
+
+def worded(text: Column) -> Column:
+    """The words of the folded text; cut between them, as gathering matches copies the text for each."""
+    return F.array_remove(F.split(folded(text), BETWEEN), "")
+
+
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, for columns made inside an operator."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among `keys`, rows whose key surely is not), nothing moved.
+
+    keys: a written table of one long column `key`. A broadcast bitmap of their slots
+    decides; its size follows the counted keys. Above MARKED_KEYS all rows may be among
+    them. Rows of a null key are in the second part.
+    """
+    n = keys.count()
+    if not n:
+        return df.where("false"), df
+    if n > MARKED_KEYS:
+        return df.where(key.isNotNull()), df.where(key.isNull())
+    p = fresh(df)
+    slots = -(-n * BITS // BITMAP) * BITMAP
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots)) + 1
+    marks = keys.where("key is not null").select(slot(F.col("key")).alias("slot"))
+    marks = marks.groupBy(F.bitmap_bucket_number("slot").alias(f"{p}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(f"{p}bits"))
+    own = df.withColumn(f"{p}slot", F.when(key.isNotNull(), slot(key)))
+    own = own.withColumn(f"{p}bucket", F.bitmap_bucket_number(f"{p}slot")).withColumn(f"{p}bit", F.bitmap_bit_position(f"{p}slot"))
+    own = own.join(F.broadcast(marks), f"{p}bucket", "left")
+    octet = f"cast(conv(hex(substring({p}bits, cast({p}bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    own = own.withColumn(f"{p}in", F.expr(f"coalesce(shiftright({octet}, cast({p}bit % 8 as int)) & 1, 0) = 1"))
+    made = [f"{p}{c}" for c in ("slot", "bucket", "bit", "bits", "in")]
+    return own.where(f"{p}in").drop(*made), own.where(f"not {p}in").drop(*made)

@@ -1,7 +1,7 @@
 """License scan by diagonal voting (DataFrame functions only).
 
 All rolling word k-gram hashes of every text are joined to the template positions that
-carry the same hash. A hit votes for the diagonal (word position minus template
+carry the same hash, and the words of both are compared. A hit votes for the diagonal (word position minus template
 position); votes are counted per text, template and diagonal. A base phrase stands at a
 diagonal that has all its k-grams, each once. For a longer template, diagonals that lie
 within `drift` of each other are merged (inserted or missing words shift the rest) and
@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerline.llm.common import LOWER, UPPER, folded, table
+from ledgerline.llm.common import LOWER, UPPER, table, worded
 
-#: What counts as a word, the base phrases with their labels, and the method's templates.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The base phrases with their labels, and the method's templates.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
@@ -41,26 +40,24 @@ COVER = 0.75
 
 
 def _templates(spark: SparkSession, k: int, base: dict[str, str], more: dict[str, str]) -> DataFrame:
-    """(tid, label, is_base, grams, tpos, h): a fixed list, so a few hundred rows at most."""
+    """(tid, label, is_base, grams, tpos, gram, h): a fixed list, so a few hundred rows at most."""
+    if any(len(text.split()) < k for text in (*base, *more)):
+        raise ValueError(f"a phrase of fewer than {k} words has no {k}-gram")
     rows = [(n, text.split(), label, text in base) for n, (text, label) in enumerate([*base.items(), *more.items()])]
     grams = [(n, label, own, len(w) - k + 1, p, w[p : p + k]) for n, w, label, own in rows for p in range(len(w) - k + 1)]
-    made = spark.createDataFrame(grams, "tid int, label string, is_base boolean, grams int, tpos int, w array<string>")
-    return made.select("tid", "label", "is_base", "grams", "tpos", F.xxhash64(*[F.col("w")[i] for i in range(k)]).alias("h"))
+    made = spark.createDataFrame(grams, "tid int, label string, is_base boolean, grams int, tpos int, gram array<string>")
+    return made.select("tid", "label", "is_base", "grams", "tpos", "gram", F.xxhash64(*[F.col("gram")[i] for i in range(k)]).alias("h"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, drift: int = DRIFT, cover: float = COVER, base: dict[str, str] = BASE, more: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per text: doc_id, counts of base phrases, labels and the best coverage."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.regexp_extract_all(folded(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w"))
-    gram = ", ".join(f"w[i + {j}]" for j in range(k))
-    grams = words.select(
-        "row",
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        # position -1 carries the row itself through the join
-        F.posexplode(F.expr(f"concat(array(0L), if(size(w) >= {k}, transform(sequence(0, size(w) - {k}), i -> xxhash64({gram})), cast(array() as array<bigint>)))")).alias("pos", "h"),
-    )
-    grams = grams.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), F.when(F.col("pos") > 0, F.col("h")).alias("h"))
-    hits = grams.join(F.broadcast(_templates(docs.sparkSession, k, base, more)), "h", "left").where("tid is not null or pos < 0")
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), worded(F.col(text_col)).alias("w"))
+    # position -1 carries the row itself through the join; outer, so that no filter cuts the words a second time
+    places = words.select("row", "doc_id", "w", F.explode_outer(F.expr(f"sequence(-1, greatest(size(w) - {k}, -1))")).alias("pos"))
+    gram = ", ".join(f"w[pos + {j}]" for j in range(k))
+    grams = places.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "w", "pos", F.expr(f"if(pos >= 0, xxhash64({gram}), null)").alias("h"))
+    hits = grams.join(F.broadcast(_templates(docs.sparkSession, k, base, more)), "h", "left")
+    hits = hits.where(F.expr(f"case when tid is null then pos < 0 else slice(w, pos + 1, {k}) = gram end"))
     keys = ["row", "doc_id", "n_words", "tid", "label", "is_base", "grams"]
     votes = hits.withColumn("diag", F.when(F.col("tid").isNotNull(), F.col("pos") - F.col("tpos")))
     votes = votes.groupBy(*keys, "diag").agg(F.count("*").alias("n"), F.collect_set("tpos").alias("at"))
