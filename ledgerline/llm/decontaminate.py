@@ -1,12 +1,10 @@
 """Benchmark decontamination by SimHash windows (DataFrame functions only).
 
-1. Word k-gram hashes of every text, at every `stride`-th place, are joined to those of the
-   benchmark items. A window that is similar enough differs from its item in so few k-grams
-   that some of these places hit, and how many is known; only texts with as many hits of an
-   item go on with it. The stride is the largest one, up to STRIDE, that leaves at least one
-   such hit for every item; it chooses the texts, not the windows.
-2. In these texts every place is looked up in the item, and an item-sized window stands at
-   every start whose places hold as many hits as a similar window has at least.
+1. Word k-gram hashes of every place of every text are joined to those of the benchmark
+   items and counted by text and item. A window that is similar enough shares at least
+   `percent` of the item's k-grams, so texts with fewer such places go no further.
+2. In the texts left every place is looked up in the item, and an item-sized window stands
+   at every start whose places hold as many hits as a similar window has at least.
 3. Each window and each item gets a 64-bit SimHash of its weighted shingles (the weight
    is how often a shingle occurs).
 4. Fingerprints are cut into radius + 1 blocks; two that differ in at most `radius` bits
@@ -28,32 +26,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_ROWS, folded, join_small, table, written
-from ledgerline.llm.license_scan import WORD
+from ledgerline.llm.common import BROADCAST_ROWS, join_small, parted, table, worded, written
 
 K = 5
 PERCENT = 80
 RADIUS = 20
-STRIDE = 4
 
 
-def _words(text: str) -> Column:
-    return F.regexp_extract_all(folded(F.col(text)), F.lit(WORD), F.lit(0))
+def _gram(words: str, at: str, k: int) -> str:
+    """SQL: hash of the k-word shingle at a place, of the whole where there are fewer than k words."""
+    return f"if(size({words}) >= {k}, xxhash64({', '.join(f'{words}[{at} + {j}]' for j in range(k))}), xxhash64({words}))"
 
 
-def _shingles(words: str, k: int, stride: int = 1) -> str:
-    """SQL: hashes of the k-word shingles of an array of word hashes, one of the whole if it is shorter."""
-    gram = ", ".join(f"{words}[i + {j}]" for j in range(k))
-    return f"if(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}, {stride}), i -> xxhash64({gram})), array(xxhash64({words})))"
-
-
-def _hits(size: str, stride: int, percent: int) -> str:
-    """SQL: hits at every stride-th place that a similar window of an item of so many shingles has at least.
-
-    Its own shingles are at least `percent` of the item's, so that many places fall in it,
-    and of them at most (100 - percent) / (100 + percent) of the item's size do not match.
-    """
-    return f"floor({percent} * {size} / {100 * stride}) - floor({100 - percent} * {size} / {100 + percent})"
+def _shingles(words: str, k: int) -> str:
+    """SQL: hashes of the shingles at all places of an array of words."""
+    return f"transform(sequence(0, greatest(size({words}) - {k}, 0)), i -> {_gram(words, 'i', k)})"
 
 
 def _starts(places: str, size: str, least: str, last: str) -> str:
@@ -81,31 +68,32 @@ def _blocks(value: str, radius: int) -> str:
 
 def leaks(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, th, item_id, similarity, start_word: the best window per document and item."""
-    hashed = lambda c: F.transform(_words(c), lambda x: F.xxhash64(x))
-    bench = items.select(F.col(item_col).alias("item_id"), hashed(item_text).alias("w")).where("size(w) > 0").distinct()
+    bench = items.select(F.col(item_col).alias("item_id"), worded(F.col(item_text)).alias("w")).where("size(w) > 0").distinct()
     bench = bench.withColumn("m", F.size("w")).withColumn("sh", F.expr(_shingles("w", k)))
     bench = written(bench.withColumn("fp", F.expr(_simhash("sh"))).select("item_id", "m", "sh", "fp"), "items")
-    short = bench.agg(*[F.min(F.expr(_hits("size(sh)", t, percent))) for t in range(2, STRIDE + 1)]).first()
-    stride = max([t for t, least in zip(range(2, STRIDE + 1), short, strict=True) if (least or 0) > 0], default=1)
-    need = F.greatest(F.lit(1), F.expr(_hits("size(sh)", stride, percent))).alias("need")
     bodies = written(bench.select(F.xxhash64("m", "sh").alias("body"), "m", F.col("sh").alias("ish")).distinct(), "item-bodies")
+    need = F.expr(f"({percent} * size(sh) + 99) div 100").alias("need")
     seeds = written(bench.select(F.xxhash64("m", "sh").alias("body"), need, F.explode("sh").alias("h")).distinct(), "item-shingles")
 
-    # asked of the text, as a filter on its words would cut them twice
-    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).where(folded(F.col("text")).rlike(WORD))
-    hits = worded.select("doc_id", "th", hashed("text").alias("w")).select("doc_id", "th", F.posexplode(F.expr(_shingles("w", k, stride))).alias("nth", "h"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    # outer, so that no filter cuts the words a second time
+    at = F.explode_outer(F.expr(f"if(size(w) > 0, sequence(0, greatest(size(w) - {k}, 0)), cast(array() as array<int>))"))
+    places = texts.select("doc_id", "th", worded(F.col("text")).alias("w")).select("doc_id", "th", "w", at.alias("p"))
+    hits = places.select("doc_id", "th", F.expr(f"if(p is null, null, {_gram('w', 'p', k)})").alias("h"))
     hits = join_small(hits, seeds, ["h"], "inner", 10 * BROADCAST_ROWS)
-    near = hits.groupBy("doc_id", "th", "body", "need").agg(F.size(F.collect_set("nth")).alias("met")).where("met >= need")
+    near = hits.groupBy("doc_id", "th", "body", "need").agg(F.count("*").alias("met")).where("met >= need")
     near = written(near.groupBy("doc_id", "th").agg(F.collect_set("body").alias("bodies")), "candidates")
 
     small = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = near.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "bodies")
-    found = worded.join(F.broadcast(side) if small else side, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    found = found.select("doc_id", "th", "bodies", hashed("text").alias("w")).select("doc_id", "th", "bodies", F.expr(_shingles("w", k)).alias("g"))
+    side = near.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "bodies")
+    if not small:  # only texts that may be candidates move
+        texts, _ = parted(texts, F.xxhash64("doc_id", "th"), near.select(F.xxhash64("doc_id", "th").alias("key")))
+    found = texts.join(F.broadcast(side) if small else side, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    found = found.select("doc_id", "th", "bodies", worded(F.col("text")).alias("w")).select("doc_id", "th", "bodies", F.expr(_shingles("w", k)).alias("g"))
     found = join_small(found.select("doc_id", "th", "g", F.explode("bodies").alias("body")), bodies, ["body"], "inner")
     found = found.withColumn("long", F.expr("least(size(g), size(ish))")).withColumn("places", F.expr("filter(sequence(0, size(g) - 1), p -> array_contains(ish, g[p]))"))
     # what two sets of shingles share is at least this much of their sizes, or they are not similar
-    found = found.withColumn("least", F.expr(f"cast(ceil({percent} * (long + size(ish)) / {100 + percent}) as int)"))
+    found = found.withColumn("least", F.expr(f"cast(({percent} * (long + size(ish)) + {99 + percent}) div {100 + percent} as int)"))
     found = found.withColumn("start", F.expr(_starts("places", "long", "least", "(size(g) - long)")))
     found = found.select("doc_id", "th", "m", F.explode(F.expr("transform(start, s -> struct(s as start, slice(g, s + 1, long) as sh))")).alias("x"))
     found = found.select("doc_id", "th", "m", "x.start", "x.sh").withColumn("fp", F.expr(_simhash("sh")))
@@ -128,23 +116,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+#: The definition: every window of an item's size, at every start of every text.
 SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS w FROM benchmark),
-ds AS (SELECT doc_id, p, len(w) AS n, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g
+ds AS (SELECT doc_id, p, greatest(len(w) - {K} + 1, 1) AS n, array_to_string(w[p + 1:p + {K}], ' ') AS g
        FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM d WHERE len(w) > 0)),
-ig AS (SELECT item_id, p, len(w) AS m, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g
+ig AS (SELECT item_id, greatest(len(w) - {K} + 1, 1) AS m, array_to_string(w[p + 1:p + {K}], ' ') AS g
        FROM (SELECT item_id, w, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM i WHERE len(w) > 0)),
-hit AS (SELECT ds.doc_id, ig.item_id, ig.m, ds.p, greatest(0, least(ds.p - ig.p, ds.n - ig.m)) AS start FROM ds JOIN ig USING (g) WHERE ds.p % {STRIDE} = 0),
-met AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, m HAVING count(DISTINCT p) >= greatest(1, floor({PERCENT} * greatest(m - {K} + 1, 1) / {100 * STRIDE}) - floor({100 - PERCENT} * greatest(m - {K} + 1, 1) / {100 + PERCENT}))),
-win AS (SELECT DISTINCT doc_id, m, start FROM hit JOIN met USING (doc_id, item_id)),
-ws AS (SELECT win.doc_id, win.m, win.start, d.w[win.start + 1:win.start + win.m] AS w FROM win JOIN d USING (doc_id)),
-wg AS (SELECT doc_id, m, start, CASE WHEN len(w) < {K} THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + {K}], ' ') END AS g, greatest(len(w) - {K} + 1, 1) AS nc
-       FROM (SELECT *, unnest(range(greatest(len(w) - {K} + 1, 1))) AS p FROM ws)),
-wc AS (SELECT doc_id, m, start, g, any_value(nc) AS total, count(*) AS n FROM wg GROUP BY ALL),
-ic AS (SELECT item_id, m, g, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS total FROM ig GROUP BY item_id, m, g),
-b AS (SELECT doc_id, item_id, start, sum(least(wc.n, ic.n)) AS c, any_value(wc.total) + any_value(ic.total) AS s
-      FROM wc JOIN ic USING (m, g) GROUP BY doc_id, item_id, start),
+ic AS (SELECT item_id, m, g, count(*) AS c FROM ig GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, p, g, c, m, n, least(m, n) AS size FROM ds JOIN ic USING (g)),
+win AS (SELECT doc_id, item_id, m, size, g, c, unnest(range(greatest(0, p - size + 1), least(p, n - size) + 1)) AS start FROM hit),
+met AS (SELECT doc_id, item_id, m, size, start, g, least(count(*), c) AS c FROM win GROUP BY doc_id, item_id, m, size, start, g, win.c),
+b AS (SELECT doc_id, item_id, start, sum(c) AS c, m + size AS s FROM met GROUP BY doc_id, item_id, start, m, size),
 j AS (SELECT doc_id, item_id, start, (c / (s - c))::DOUBLE AS similarity FROM b WHERE 100 * c >= {PERCENT} * (s - c))
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start))::BIGINT AS start_word FROM j GROUP BY doc_id, item_id
 """
