@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import license_scan, line_dedup, substring_dedup
+from ledgerline.llm.common import parted
 from tests.llm.fixtures import empty, frame, odd, odd_rows, words
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,6 +41,11 @@ def test_license_scan_merges_diagonals(spark):
     assert "apache-2.0" in r.labels.split(",") and r.base_labels == ""
 
 
+def test_license_scan_rejects_grams_longer_than_a_phrase(spark):
+    with pytest.raises(ValueError):
+        license_scan.scan(odd(spark), k=3)
+
+
 def test_license_scan_odd_rows(spark):
     got = license_scan.scan(odd(spark)).collect()
     assert len(got) == len(odd_rows())
@@ -86,18 +93,22 @@ def test_substring_dedup_empty(spark):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
-def lines_left(rows, run=3):
+def lines_left(rows, run=3, long=50):
     """Brute force: documents by (id, text), each once; the lines that stay."""
+    count = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
     texts = sorted({(d if d is not None else 2**63 - 1, t or "", d, t) for d, t in rows}, key=lambda x: x[0])
     seen, out = set(), {}
     for _, text, d, t in texts:
         lines = text.split("\n")
         shown = ["" if not x.strip(" ") else x for x in lines]
         gone = set()
-        for i in range(len(lines) - run + 1):
-            w = tuple(shown[i : i + run])
-            if any(w) and w in seen:
-                gone |= set(range(i, i + run))
+        for i in range(len(lines)):
+            n = next((n for n in range(1, run) if i + n <= len(lines) and sum(map(count, lines[i : i + n])) >= long), run)
+            w = tuple(shown[i : i + n])
+            if i + n > len(lines) or not any(w):
+                continue
+            if w in seen:
+                gone |= set(range(i, i + n))
             seen.add(w)
         out[d, t] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
     return out
@@ -115,6 +126,26 @@ def test_line_dedup_is_exact(spark):
     assert all(r["row"] == "clash" for r in got)
 
 
+def test_line_dedup_takes_short_runs_of_many_words(spark):
+    rng = random.Random(9)
+    pool = [words(rng, n) for n in (3, 20, 26, 30, 49, 50, 51, 70)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else words(rng, rng.randrange(30)) for _ in range(rng.randrange(1, 9))), None, None, None) for i in range(60)]
+    got = line_dedup.dedup_lines(frame(spark, rows).withColumns({"_doc": F.lit(1), "_RUNS": F.lit(2), "line_dedup": F.lit(3)})).collect()
+    want = lines_left([(r[0], r[1]) for r in rows])
+    assert {r.doc_id: (r.text, r.line_dedup.n_removed) for r in got} == {r[0]: want[r[0], r[1]] for r in rows}
+    assert all((r["_doc"], r["_RUNS"]) == (1, 2) for r in got) and sum(r.line_dedup.n_removed for r in got) > 20
+
+
+def test_keys_are_parted_without_loss(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("k"), F.lit(7).alias("_slot"))
+    keys = spark.createDataFrame([(7 * i,) for i in range(300)], "key long")
+    maybe, no = parted(rows, F.col("k"), keys)
+    among = {r.k for r in maybe.collect()}
+    assert {7 * i for i in range(300) if 7 * i % 50} <= among and len(among) < 900
+    assert maybe.count() + no.count() == 5000 and maybe.columns == no.columns == rows.columns
+    assert parted(rows, F.col("k"), keys.limit(0))[0].count() == 0
+
+
 def test_line_dedup_finds_runs_between_documents(spark):
     shared = "one line\ntwo line\nthree line\nfour line"
     rows = [(1, f"start\n{shared}\nend", None, None, None), (2, f"other\n{shared}\nlast\none line\ntwo line", None, None, None)]
