@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textops as tx
-from ledgerline.llm.common import join_small, table, written
+from ledgerline.llm.common import fresh, join_small, table, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -80,7 +80,7 @@ def _counted(languages: tuple[str, ...]):
 
 def text_model(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, declared: str = "lang", text: str = "text") -> np.ndarray:
     """Log probabilities, one row per language; the last column is for bytes without a trigram."""
-    counts = docs.select(F.col(declared), F.col(text)).mapInArrow(_counted(languages), "lang string, bucket int, n long")
+    counts = docs.select(F.col(declared), F.col(text)).mapInArrow(tx.trimmed(_counted(languages)), "lang string, bucket int, n long")
     model = np.ones((len(languages), BUCKETS + 1))
     for row in counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
         model[languages.index(row.lang), row.bucket] += row.n
@@ -114,15 +114,15 @@ def _log(right: float, n: int) -> np.ndarray:
     return np.log(np.full((n, n), (1 - right) / max(n - 1, 1)) + np.eye(n) * (right - (1 - right) / max(n - 1, 1)))
 
 
-def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least: float, schema: pa.Schema):
+def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least: float, schema: pa.Schema, p: str):
     sides = np.vstack([_log(DECLARED_RIGHT, len(languages)), np.zeros(len(languages))]), np.vstack([_log(SUFFIX_RIGHT, len(languages)), np.zeros(len(languages))])
 
     def run(batches):
         place = {x: i for i, x in enumerate(languages)}
         pointed = {s: place[x] for s, x in SUFFIXES.items() if x in place}
         for batch in batches:
-            declared, suffix, prior = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_declared", "_suffix", "_prior"))
-            data, off = tx.text_bytes(batch.column(batch.schema.get_field_index("_text")))
+            declared, suffix, prior = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (f"{p}declared", f"{p}suffix", f"{p}prior"))
+            data, off = tx.text_bytes(batch.column(batch.schema.get_field_index(f"{p}text")))
             logs = np.log(np.array([p or [1.0] * len(languages) for p in prior]).reshape(-1, len(languages)))
             logs += sides[0][[place.get((x or "").lower()[:2], -1) for x in declared]] + sides[1][[pointed.get((x or "").lower(), -1) for x in suffix]]
             number, letters = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
@@ -138,7 +138,7 @@ def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least:
             best = odds.argmax(axis=1) if len(odds) else np.zeros(0, int)
             top = odds[np.arange(len(odds)), best]
             facts = [pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(top, pa.float64()), pa.array(number), pa.array((top >= least) & (letters > 0))]
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_declared", "_suffix", "_prior", "_text")]
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in (f"{p}declared", f"{p}suffix", f"{p}prior", f"{p}text")]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, schema, strict=False)), *facts], schema=schema)
 
     return run
@@ -153,10 +153,11 @@ def identify(docs: DataFrame, declared: str = "lang", host: str | None = "source
     model = text_model(docs, languages, declared, text)
     named = lambda c: F.col(c) if c else F.lit(None).cast("string")
     priors = host_priors(docs.select(named(host).alias("host"), F.substring(F.lower(declared), 1, 2).alias("declared")), languages)
-    rows = docs.select(*keep, F.col(declared).alias("_declared"), named(suffix).alias("_suffix"), named(host).alias("_host"), F.col(text).alias("_text"))
-    rows = join_small(rows, priors.select(F.col("host").alias("_host"), F.col("prior").alias("_prior")), ["_host"]).drop("_host")
+    p = fresh(docs)
+    rows = docs.select(*keep, F.col(declared).alias(f"{p}declared"), named(suffix).alias(f"{p}suffix"), named(host).alias(f"{p}host"), F.col(text).alias(f"{p}text"))
+    rows = join_small(rows, priors.select(F.col("host").alias(f"{p}host"), F.col("prior").alias(f"{p}prior")), [f"{p}host"]).drop(f"{p}host")
     made = T.StructType([*docs.select(*keep).schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("n_trigrams", T.LongType()), T.StructField("accepted", T.BooleanType())])
-    return rows.mapInArrow(_scored(model, languages, TEXT_WEIGHT, LEAST_POSTERIOR, to_arrow_schema(made)), made)
+    return rows.mapInArrow(tx.trimmed(_scored(model, languages, TEXT_WEIGHT, LEAST_POSTERIOR, to_arrow_schema(made), p)), made)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -120,7 +120,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> D
     whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
     firsts = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
     whole = whole.join(firsts.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
-    return written(whole.select("a", "b", "oa", "ob").mapInArrow(_compared(percent, extras), "a long, b long, shared long, linked boolean, extras array<long>"), "compared")
+    return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>"), "compared")
 
 
 def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int, hot: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent:
 def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signatures(k, coords), "doc long, n long, key binary, tokens array<long>"), "signatures")
+    signed = written(docs.mapInArrow(tx.trimmed(_signatures(k, coords)), "doc long, n long, key binary, tokens array<long>"), "signatures")
     classes = signed.where("n > 0 and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes, "classes")
 
@@ -166,7 +166,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
     posted = written(weighed.select("rep", "weight", F.explode("t.token").alias("token")), "postings")
 
     members = posted.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
-    sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(_sets(k), "rep long, own binary"), "sets")
+    sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary"), "sets")
 
     hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
     pairs = posted.join(hubs, "token").select("a", F.col("rep").alias("b")).where("a <> b").distinct()

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import near_dedup
+from ledgerline.llm import textops as tx
 from ledgerline.llm.common import folded, join_small, table, written
 
 CAPACITY = 2048
@@ -36,7 +37,7 @@ _OUT = pa.schema([("row", pa.int64()), ("bin_id", pa.string())])
 
 
 def tokens(text: str) -> Column:
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), "")).cast("long")
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -104,7 +105,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     shards = max(1, -(-rest.count() // shard_rows))
     rest = rest.select(F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).alias("shard"), "row", (F.col("n") % capacity).alias("size"), "source", "cluster", "doc_id")
     dealt = rest.repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "row")
-    bins = dealt.mapInArrow(_packer(capacity), "row long, bin_id string")
+    bins = dealt.mapInArrow(tx.trimmed(_packer(capacity)), "row long, bin_id string")
     whole = F.expr(f"if(n >= {capacity}, transform(sequence(0L, n div {capacity} - 1), p -> p), cast(array() as array<bigint>))")
     full = rows.select("row", "doc_id", F.explode(whole).alias("piece"))
     alone = F.concat_ws("-", F.lit("whole"), "row", "piece")

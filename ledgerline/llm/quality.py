@@ -7,7 +7,8 @@ rows of a batch at once. Labels, lang, source and doc_id are no inputs of a scor
 
 Results in odd cases: a null or empty text has all-zero statistics and a score as any
 other; rows whose crc32(doc_id) mod 3 is 1 are never learnt from; a null doc_id counts as
-learnable but has no label; conflicting labels of a doc_id all count; with no usable
+learnable but has no label; conflicting labels of a doc_id all count, and of texts that
+share a doc_id the least is learnt from; with no usable
 label or one class only the score is the smoothed share of label 1; an empty table gives
 an empty result. Other columns are not read.
 """
@@ -146,9 +147,13 @@ def _measured(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees from at most train_rows labels; ids, labels and statistics of those reach the driver."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = usable.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(id_col).cast("long"), F.col(text_col), "_label")
-    found = rows.mapInArrow(_measured, "doc_id long, label int, x array<float>").orderBy("doc_id", "label", F.hash("x")).limit(2 * train_rows).collect()
+    marks = usable.select(F.col(id_col).cast("long").alias("doc"), F.col(label).cast("int").alias("mark"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    chosen = marks.distinct().orderBy(F.xxhash64("doc"), "doc", "mark").limit(train_rows)
+    # one text for each label, so the bound holds whatever ids repeat
+    rows = texts.join(F.broadcast(chosen), "doc").groupBy("doc", "mark").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc", "text", "mark")
+    found = rows.mapInArrow(tx.trimmed(_measured), "doc_id long, label int, x array<float>").collect()
+    found.sort(key=lambda r: (r.doc_id, r.label, list(r.x)))
     return fit(np.array([r.x for r in found], np.float32).reshape(-1, len(NAMES)), np.array([r.label for r in found], np.float64))
 
 
@@ -160,7 +165,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             s = trees.score(statistics(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(tx.trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
