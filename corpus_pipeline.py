@@ -7,11 +7,13 @@ stage's result to the shared folder and reads it again as the next one's input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from ledgerline.llm.common import join_small, table, written
+from ledgerline.llm.common import parted, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,15 +32,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    gone = written(near_dedup.link(docs).where("not kept").select("doc_id").distinct(), "copies")
-    return _without(docs, gone)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), one of equal rows.
+
+    Documents without words are in no group. Those without an id are linked with nothing.
+    """
+    gone = near_dedup.link(docs).where("not kept").select("doc_id").distinct()
+    docs = _without(docs, written(gone, "copies"), [F.col("doc_id")])
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    same = written(texts.groupBy("doc_id", "th").count().where("count > 1").select(F.xxhash64("doc_id", "th").alias("key")), "equal-rows")
+    maybe, single = parted(docs, F.xxhash64("doc_id", F.xxhash64("text")), same)
+    return single.unionByName(maybe.dropDuplicates(["doc_id", "text"])) if same.limit(1).count() else docs
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; those that do go, with an id or without."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, written(found.where("doc_id is not null").select("doc_id").distinct(), "leaks"))
+    return _without(docs, written(found.select("doc_id", "th").distinct(), "leaks"), [F.col("doc_id"), F.xxhash64("text")])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +55,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    marked = join_small(docs.select(*COLUMNS), ids.withColumn("_gone", F.lit(True)), ["doc_id"])
-    return marked.where("_gone is null").select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame, by: list[Column]) -> DataFrame:
+    """docs without those whose values `by` stand in `gone`; only texts that may be among them are exchanged."""
+    docs = docs.select(*COLUMNS)
+    maybe, clear = parted(docs, F.xxhash64(*by), gone.select(F.xxhash64(*gone.columns).alias("key")))
+    named = gone.toDF(*[f"gone_{c}" for c in gone.columns])
+    same = [x.eqNullSafe(F.col(c)) for x, c in zip(by, named.columns, strict=True)]
+    return maybe.join(named, reduce(lambda x, y: x & y, same), "left_anti").unionByName(clear)
 
 
 STAGES = [
