@@ -358,3 +358,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+#: All strings of LENGTH bytes, as hexadecimal digits, which are cut into pieces first as substr() counts from the start.
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, j, substr(h, 512 * j + 1, {512 + 2 * LENGTH}) AS h FROM (SELECT doc_id, h, unnest(range((length(h) + 511) // 512)) AS j FROM h)),
+b AS (SELECT doc_id, 256 * j + i AS i, substr(h, 2 * i + 1, 2) AS byte, substr(h, 2 * i + 1, {2 * LENGTH}) AS w
+      FROM (SELECT doc_id, j, h, unnest(range(least(256, length(h) // 2))) AS i FROM p)),
+w AS (SELECT doc_id, i, w FROM b WHERE length(w) = {2 * LENGTH}),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (w) WHERE doc_id > first),
+m AS (SELECT b.doc_id, b.i, byte, hit.i AS own FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.i = b.i),
+c AS (SELECT doc_id, i, byte, count(own) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM m),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS rises FROM c),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE rises) AS n_spans,
+             coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT h.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN s USING (doc_id)
+"""
