@@ -4,9 +4,11 @@ log P(lang | row) is, up to a constant, the sum of
 - the text: log likelihoods of hashed byte trigrams over the whole text, as a mean that
   counts as at most `weight` trigrams (neighbouring trigrams are far from independent);
 - the declared language and the address suffix, each right with a stated probability;
-- the host: counts of declared languages per host, smoothed towards its registered
-  domain, that towards its suffix and that towards the whole (grouped aggregation).
-The trigram counts come from all texts under their declared language; the model's size is
+- the host: counts of declared languages per host without the row's own declaration,
+  smoothed towards its registered domain, that towards its suffix and that towards the
+  whole (grouped aggregation).
+A declaration counts by its first two letters, whatever their case. The trigram counts
+come from all texts under their declared language; the model's size is
 languages x buckets, whatever the input.
 
 Results in odd cases: a null or letterless text has no text evidence and is rejected,
@@ -22,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,9 +80,13 @@ def _counted(languages: tuple[str, ...]):
     return run
 
 
+def _two(declared: str) -> Column:
+    return F.substring(F.lower(F.trim(F.col(declared))), 1, 2)
+
+
 def text_model(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, declared: str = "lang", text: str = "text") -> np.ndarray:
     """Log probabilities, one row per language; the last column is for bytes without a trigram."""
-    counts = docs.select(F.col(declared), F.col(text)).mapInArrow(tx.trimmed(_counted(languages)), "lang string, bucket int, n long")
+    counts = docs.select(_two(declared), F.col(text)).mapInArrow(tx.trimmed(_counted(languages)), "lang string, bucket int, n long")
     model = np.ones((len(languages), BUCKETS + 1))
     for row in counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
         model[languages.index(row.lang), row.bucket] += row.n
@@ -89,7 +95,10 @@ def text_model(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, declared
 
 
 def host_priors(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, weight: float = HOST_WEIGHT) -> DataFrame:
-    """(host, prior array): rows has host and declared. Written, one row per host."""
+    """(host, held, above, prior): rows has host and declared. Written, one row per host.
+
+    held: declarations by language; above: the prior of the level above; prior: both together.
+    """
     counted = [F.count_if(F.col("declared") == x).cast("double").alias(f"c{i}") for i, x in enumerate(languages)]
     names = [f"c{i}" for i in range(len(languages))]
     hosts = written(rows.where("host is not null").groupBy("host").agg(*counted), "hosts")
@@ -106,7 +115,8 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, weight:
         hosts = hosts.withColumns({f"{level}_p{i}": p for i, p in enumerate(prior)})
         prior = [F.col(f"{level}_p{i}") for i in range(len(names))]
     n = reduce(lambda x, y: x + y, [F.col(c) for c in names])
-    return written(hosts.select("host", F.array(*[(F.col(c) + weight * p) / (n + weight) for c, p in zip(names, prior, strict=True)]).alias("prior")), "priors")
+    whole = F.array(*[(F.col(c) + weight * p) / (n + weight) for c, p in zip(names, prior, strict=True)])
+    return written(hosts.select("host", F.array(*names).alias("held"), F.array(*prior).alias("above"), whole.alias("prior")), "priors")
 
 
 def _log(right: float, n: int) -> np.ndarray:
@@ -121,10 +131,14 @@ def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least:
         place = {x: i for i, x in enumerate(languages)}
         pointed = {s: place[x] for s, x in SUFFIXES.items() if x in place}
         for batch in batches:
-            declared, suffix, prior = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (f"{p}declared", f"{p}suffix", f"{p}prior"))
+            declared, suffix, held, above = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (f"{p}declared", f"{p}suffix", f"{p}held", f"{p}above"))
+            own = np.array([place.get(x or "", -1) for x in declared], np.int64)
             data, off = tx.text_bytes(batch.column(batch.schema.get_field_index(f"{p}text")))
-            logs = np.log(np.array([p or [1.0] * len(languages) for p in prior]).reshape(-1, len(languages)))
-            logs += sides[0][[place.get((x or "").lower()[:2], -1) for x in declared]] + sides[1][[pointed.get((x or "").lower(), -1) for x in suffix]]
+            held, above = (np.array([x or [other] * len(languages) for x in y], np.float64).reshape(-1, len(languages)) for y, other in ((held, 0.0), (above, 1.0)))
+            known = held.sum(axis=1) > 0
+            held[np.flatnonzero((own >= 0) & known), own[(own >= 0) & known]] -= 1  # the row's own declaration is evidence of its own
+            logs = np.log((held + HOST_WEIGHT * above) / (held.sum(axis=1, keepdims=True) + HOST_WEIGHT))
+            logs += sides[0][own] + sides[1][[pointed.get((x or "").lower(), -1) for x in suffix]]
             number, letters = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for a, b, part, at in tx.pieces(data, off):
                 found, _ = _trigrams(part, at)
@@ -138,7 +152,7 @@ def _scored(model: np.ndarray, languages: tuple[str, ...], weight: float, least:
             best = odds.argmax(axis=1) if len(odds) else np.zeros(0, int)
             top = odds[np.arange(len(odds)), best]
             facts = [pa.array([languages[i] for i in best.tolist()], pa.string()), pa.array(top, pa.float64()), pa.array(number), pa.array((top >= least) & (letters > 0))]
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in (f"{p}declared", f"{p}suffix", f"{p}prior", f"{p}text")]
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in [f"{p}{x}" for x in ("declared", "suffix", "held", "above", "text")]]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, schema, strict=False)), *facts], schema=schema)
 
     return run
@@ -152,10 +166,10 @@ def identify(docs: DataFrame, declared: str = "lang", host: str | None = "source
     keep = [c for c in docs.columns if c not in made] if keep is None else keep
     model = text_model(docs, languages, declared, text)
     named = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    priors = host_priors(docs.select(named(host).alias("host"), F.substring(F.lower(declared), 1, 2).alias("declared")), languages)
+    priors = host_priors(docs.select(named(host).alias("host"), _two(declared).alias("declared")), languages)
     p = fresh(docs)
-    rows = docs.select(*keep, F.col(declared).alias(f"{p}declared"), named(suffix).alias(f"{p}suffix"), named(host).alias(f"{p}host"), F.col(text).alias(f"{p}text"))
-    rows = join_small(rows, priors.select(F.col("host").alias(f"{p}host"), F.col("prior").alias(f"{p}prior")), [f"{p}host"]).drop(f"{p}host")
+    rows = docs.select(*keep, _two(declared).alias(f"{p}declared"), named(suffix).alias(f"{p}suffix"), named(host).alias(f"{p}host"), F.col(text).alias(f"{p}text"))
+    rows = join_small(rows, priors.select(F.col("host").alias(f"{p}host"), F.col("held").alias(f"{p}held"), F.col("above").alias(f"{p}above")), [f"{p}host"]).drop(f"{p}host")
     made = T.StructType([*docs.select(*keep).schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("n_trigrams", T.LongType()), T.StructField("accepted", T.BooleanType())])
     return rows.mapInArrow(tx.trimmed(_scored(model, languages, TEXT_WEIGHT, LEAST_POSTERIOR, to_arrow_schema(made), p)), made)
 
@@ -171,3 +185,9 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages, with the markup's declaration, the address suffix and hosts of several levels."""
+    pages = page_evidence(table(spark, sf_dir, "pages"))
+    return identify(pages, declared="declared", host="host", suffix="suffix", keep=["page_id"])

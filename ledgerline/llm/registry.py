@@ -8,6 +8,7 @@ QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_language_id": language_id.query,
+    "language_of_pages": language_id.page_query,
     "op4_warc": warc.query,
     "op5_quality": quality.query,
     "op6_topk_search": topk_search.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
     "op4_warc": warc.SQL,
     "op6_topk_search": topk_search.SQL,
     "op7_near_dedup": near_dedup.SQL,

@@ -2,7 +2,10 @@
 
 import gzip
 import hashlib
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,6 +41,62 @@ def test_host_priors_are_smoothed_towards_the_domain(spark):
     assert all(abs(sum(p) - 1) < 1e-9 for p in got.values())
 
 
+def by_hand(rows, languages):
+    """Brute force: (language, posterior) of each (declared, host, suffix, text) row."""
+    fold = lambda t: [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode()]
+
+    def trigrams(text):
+        t = fold(text or "")
+        for a, b, c in zip(t, t[1:], t[2:], strict=False):
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                yield ((a * 2654435761 & 0xFFFFFFFF ^ b * 2246822519 & 0xFFFFFFFF ^ c * 3266489917 & 0xFFFFFFFF) * 668265263 & 0xFFFFFFFF) >> 18
+
+    two = lambda d: (d or "").strip().lower()[:2]
+    counts = {x: Counter(g for d, _, _, t in rows if two(d) == x for g in trigrams(t)) for x in languages}
+    levels = lambda h: [(0,), *([(1, h.split(".")[-1])] if "." in h else []), *([(2, ".".join(h.split(".")[-2:]))] if h.count(".") > 1 else []), (3, h)]
+    held = Counter((level, two(d)) for d, h, _, _ in rows if h for level in levels(h) if two(d) in languages)
+    out = []
+    for d, h, suffix, text in rows:
+        prior = {x: 1 / len(languages) for x in languages}
+        if h:
+            for level in levels(h):
+                own = {x: held[level, x] + (level == (0,)) - (level[0] == 3 and two(d) == x) for x in languages}
+                weight = 0 if level == (0,) else language_id.HOST_WEIGHT
+                prior = {x: (own[x] + weight * prior[x]) / (sum(own.values()) + weight) for x in languages}
+        grams = list(trigrams(text))
+        share = min(language_id.TEXT_WEIGHT, len(grams)) / max(len(grams), 1)
+        logs = {}
+        for x in languages:
+            total = sum(counts[x].values()) + language_id.BUCKETS
+            logs[x] = math.log(prior[x]) + share * sum(math.log((counts[x][g] + 1) / total) for g in grams)
+            for said, right in ((two(d), language_id.DECLARED_RIGHT), (language_id.SUFFIXES.get((suffix or "").lower()), language_id.SUFFIX_RIGHT)):
+                if said in languages:
+                    logs[x] += math.log(right if said == x else (1 - right) / (len(languages) - 1))
+        odds = {x: math.exp(v - max(logs.values())) for x, v in logs.items()}
+        best = max(languages, key=lambda x: odds[x])
+        out.append((best, odds[best] / sum(odds.values())))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rng, rows = random.Random(31), []
+    stems = {"de": "der die und nicht straße", "en": "the and of which thing", "es": "el de niño que pero", "fr": "le garçon est dans une"}
+    for i in range(60):
+        x = rng.choice(list(stems))
+        text = " ".join(rng.choice(stems[x].split()) + rng.choice(["", "a", "en"]) for _ in range(rng.randrange(30)))
+        rows.append((rng.choice([x, x.upper(), f"{x}-XX", "zz", None]), rng.choice(["a.b.de", "c.b.de", "x.fr", "lone", None]), rng.choice(["de", "FR", "xyz", None]), rng.choice([text, text.upper(), None]) if i else "漢字 --  !"))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, declared string, host string, suffix string, text string").withColumn("_declared", F.lit("clash")).withColumn("_prior", F.lit(1))
+    got = {r.n: (r.language, r.posterior) for r in language_id.identify(df, "declared", "host", "suffix").collect()}
+    for i, (language, posterior) in enumerate(by_hand(rows, language_id.LANGUAGES)):
+        assert abs(got[i][1] - posterior) < 1e-3 and (got[i][0] == language or posterior < 0.51), (i, rows[i], got[i], language, posterior)
+
+
+def test_pages_are_identified_by_their_markup(spark, small):
+    pages = language_id.page_evidence(table(spark, small, "pages")).select("page_id", "declared", "host")
+    got = language_id.page_query(spark, small).join(pages, "page_id")
+    assert got.count() == pages.count() and got.where("language = declared").count() >= 0.9 * got.where("declared is not null and accepted").count()
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class=x lang='DE-at'><script>var t='</p>';</script><p>Guten <b>Tag</b><!-- no --></p>"
     rows = [(1, "https://u@www.example.DE:80/x?y", html), (2, None, None), (3, "nothing", "")]
@@ -88,6 +147,8 @@ def test_warc_round_trip(spark):
     kinds = {r.page_id: (r.record_type, r.refers_to) for r in got}
     assert kinds[1] == kinds[2] == ("revisit", 3) and kinds[3] == ("response", None) and kinds[None] == ("response", None)
     assert kinds[4] == kinds[5] == kinds[9] == kinds[10] == ("response", None)
+    heads = [gzip.decompress(open(r.file, "rb").read()[r.offset : r.offset + r.length]).decode() for r in index.collect()]
+    assert len({h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads}) == len(rows) and all("\r\nWARC-Date: 2" in h for h in heads)
     some = warc.read(folder, index.where("page_id in (2, 8)")).collect()
     assert sorted(r.page_id for r in some) == [2, 8]
 
