@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import time
 import uuid
 import zlib
 
@@ -27,30 +28,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import join_small, shared_dir, table, written
+from ledgerline.llm import textops as tx
+from ledgerline.llm.common import join_small, parted, shared_dir, table, written
 
 LEAST = 1000
 #: Bytes that one read spans at most, and bytes between two records that are read along.
 SPAN = 8 << 20
 GAP = 64 << 10
 FLUSH = 4 << 20
+#: Bytes of archives that a task reads.
+READ_BYTES = 32 << 20
 
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64())])
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit carries the facts of the payload, not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str) -> bytes:
+    """One WARC/1.1 record; a revisit carries the facts of the payload, not the payload.
+
+    place: where the record stands among all records, which makes its id unique.
+    """
     revisit = refers_to is not None
     body = b"" if revisit else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    named = lambda n: f"<urn:page:{'' if n is None else n}>"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {named(page_id)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:record:{place}>", f"WARC-Date: {date}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(body)}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
@@ -61,17 +69,22 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     whole = int(http.decode().rsplit("Content-Length: ", 1)[1])
-    number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
+    number = lambda name: int(fields[name]) if name in fields else None
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if not revisit and (len(payload) != whole or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    return {"page_id": number(fields["WARC-Record-ID"]), "payload_bytes": whole, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "url": fields.get("WARC-Target-URI"), "payload": None if revisit else payload}
+    return {"page_id": number("X-Page-ID"), "payload_bytes": whole, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload": None if revisit else payload}
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder; the object store that Spark calls s3a is s3 here."""
+    return fs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a:") else folder)
 
 
-def _writer(folder: str, level: int):
+def _writer(folder: str, level: int, date: str):
     def run(batches):
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         task = TaskContext.get()
         path, out, at, held, kept = f"{root}/{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz", None, 0, [], 0
         rows: list[dict] = []
@@ -81,7 +94,7 @@ def _writer(folder: str, level: int):
                     out = store.open_output_stream(path, compression=None)
                 html = html.as_py()
                 number = refers_to.as_py()
-                raw = record(page_id.as_py(), url.as_py(), (html or "").encode(), digest.as_py(), number)
+                raw = record(page_id.as_py(), url.as_py(), (html or "").encode(), digest.as_py(), number, date, f"{root.rsplit('/', 1)[-1]}:{task.partitionId()}:{len(rows)}")
                 raw = gzip.compress(raw, level, mtime=0)
                 held.append(raw)
                 rows.append({"file": path, "offset": at, "length": len(raw), "url": url.as_py(), "digest": digest.as_py(), "record_type": "response" if number is None else "revisit", "page_id": page_id.as_py()})
@@ -101,7 +114,7 @@ def _writer(folder: str, level: int):
 
 def _reader(folder: str, payloads: bool):
     def run(batches):
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         held: list[tuple[str, int, int]] = []
 
         def read():
@@ -129,23 +142,27 @@ def _reader(folder: str, payloads: bool):
 def write(pages: DataFrame, least: int = LEAST, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
     """Write the archives; returns their folder and the index."""
     spark = pages.sparkSession
+    date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())  # one for all tasks, so a repeated task writes the same
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     same = pages.where(f"bytes >= {least} and page_id is not null").groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     same = written(same.where("n > 1").select("digest", "bytes", "keeper"), "same-payloads")
-    placed = join_small(pages, same, ["digest", "bytes"])
+    # only pages whose payload may repeat are exchanged to meet the others
+    again, once = parted(pages, F.xxhash64("digest", "bytes"), same.select(F.xxhash64("digest", "bytes").alias("key")))
+    placed = join_small(again, same, ["digest", "bytes"]).unionByName(once.withColumn("keeper", F.lit(None).cast("long")))
     refers = F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to")
-    index = placed.select("page_id", "url", "html", "digest", refers).mapInArrow(_writer(folder, level), "file string, offset long, length long, url string, digest string, record_type string, page_id long")
+    index = placed.select("page_id", "url", "html", "digest", refers).mapInArrow(tx.trimmed(_writer(folder, level, date)), "file string, offset long, length long, url string, digest string, record_type string, page_id long")
     return folder, written(index, "warc-index")
 
 
 def read(folder: str, selected: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows, read in file order by merged ranges."""
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(_reader(folder, payloads), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    ordered = selected.select("file", "offset", "length").repartitionByRange(1 + total // READ_BYTES, "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(tx.trimmed(_reader(folder, payloads)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
