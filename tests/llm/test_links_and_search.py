@@ -178,12 +178,12 @@ def test_topk_search_is_exact(spark, monkeypatch, scale):
     rng = np.random.default_rng(0)
     rows = [(i, [int(x) for x in np.floor(rng.normal(0, 20, 8) * scale)]) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(40)]  # ties
-    rows += [(400, None), (None, [1] * 8), (401, [1, 2, 3]), (402, [4, 5, 6]), (403, []), (404, [0] * 8)]
+    rows += [(400, None), (None, [1] * 8), (401, [1, 2, 3]), (402, [4, 5, 6]), (403, []), (404, [0] * 8), (405, [1, None, 3])]
     df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
     got = {}
     for r in topk_search.search(df, df.where("vec_id % 25 = 0 or vec_id in (401, 403)"), k=5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    usable = [(i, v) for i, v in rows if i is not None and v is not None]
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and None not in v]
     for q, v in usable:
         if q % 25 and q not in (401, 403):
             continue
@@ -191,6 +191,16 @@ def test_topk_search_is_exact(spark, monkeypatch, scale):
         assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
 
 
+def test_maxscore_skips_what_cannot_reach_the_threshold():
+    rng = np.random.default_rng(5)
+    columns, query, ids = rng.integers(-50, 50, (16, 400)).astype(float), rng.integers(-50, 50, 16).astype(float), np.arange(400)
+    scores = query @ columns
+    for floor in (None, -1e9, *np.sort(scores)[[-1, -5, -6, -40, 0]], 1e9):
+        got = topk_search.maxscore(ids, columns, columns.max(axis=1), columns.min(axis=1), 7, query, 5, floor)
+        want = sorted((-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True) if i != 7 and (floor is None or s >= floor))[:5]
+        assert [(-s, i) for i, s in zip(*(x.tolist() for x in got), strict=True)] == want
+
+
 def test_topk_leaves_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [None, 1.0]), (4, None), (5, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
