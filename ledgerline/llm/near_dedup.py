@@ -7,14 +7,16 @@
    `match` of them must meet within the first coords - match + 1, only that prefix is
    posted and pairs held by one class alone are skipped.
 3. In each posting list the hub (the class whose pairs are the most shared) meets every
-   other class once, on the full sets, and links are kept. So a list of n costs n.
-4. What two classes of a list share lies within the hub or outside of it. For classes that
-   did not join the hub's component, pairs are taken up again only if they share a shingle
-   outside the hub, or if what each shares with the hub is enough for a link. Shingles that
-   more than `hot` classes hold and the hub lacks count as the hub's. No other pair can be
-   a link, so none is lost, and no list is paired in full.
-5. Collisions of such a pair are counted over the whole signature; from `match` on, the
-   link is confirmed on the full shingle sets.
+   other class once, on the full sets, and links are kept. So a list of n costs n. Of the
+   classes that did not join its component a new hub is elected, ROUNDS times; these meet
+   it if their signatures collide in `match` coordinates at least.
+4. What two classes of a list share lies within the list's first hub or outside of it. For
+   classes that are in different components still, pairs of one list are taken up again
+   only if their signatures collide in `match` coordinates and they share a shingle outside
+   the hub, or what each shares with the hub is enough for a link. Shingles that more than
+   `hot` classes hold and the hub lacks count as the hub's. No other pair can be a link, so
+   none is lost, and no list is paired in full.
+5. The link is confirmed on the full shingle sets.
 
 At similarity 0.8 a pair of 32-value signatures agrees in fewer than 14 values with a
 probability of about 1e-5; that is the only loss.
@@ -46,6 +48,8 @@ COORDS = 32
 MATCH = 14
 #: Classes of a list that hold a shingle which its hub lacks, up to which they are paired by it.
 HOT = 64
+#: Elections of a hub among the classes that are left over in a list.
+ROUNDS = 3
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -123,13 +127,50 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> D
     return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>"), "compared")
 
 
-def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int, hot: int) -> DataFrame:
-    """(a, b): pairs of one hub that may still be links between two components."""
-    label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+def _label(df: DataFrame, labels: DataFrame, c: str) -> DataFrame:
+    """df with the component of the class in column c as {c}_in; a class without links is its own."""
+    named = labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    return df.join(named, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after the links (a, b) in `found`: they join whole components, whose labels stand for their members."""
+    named = _label(_label(found.select("a", "b"), labels, "a"), labels, "b")
+    merged = written(components(named.select("a_in", "b_in"), "a_in", "b_in"), "merged")
+    own = labels.union(found.select("a", "a")).union(found.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+    own = own.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    return written(own.select("node", F.coalesce("whole", "component").alias("component")), "labels")
+
+
+def _colliding(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in `match` coordinates at least."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("tokens").alias(f"t{side}")), side)
+    return written(pairs.where(f"size(array_intersect(ta, tb)) >= {match}").select("a", "b").distinct(), "pairs")
+
+
+def _elected(left: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, match: int) -> DataFrame:
+    """Labels after links to new hubs of the lists `left` (token, b, weight), in rounds."""
+    for _ in range(ROUNDS):
+        left = written(_label(left.select("token", "b", "weight"), labels, "b"), "left")
+        hubs = left.groupBy("token").agg(F.max(F.struct("weight", F.negative("b").alias("r"), F.col("b_in").alias("i"))).alias("hub"), F.count("*").alias("n"))
+        hubs = written(hubs.where("n > 1").select("token", F.negative("hub.r").alias("a"), F.col("hub.i").alias("a_in")), "hubs")
+        rest = left.join(hubs, "token").where("a_in <> b_in")
+        pairs = _colliding(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, match)
+        found = _compare(pairs, sets, percent, False).where("linked").select("a", "b")
+        if not found.limit(1).count():
+            break
+        labels, left = _relabelled(labels, found), rest
+    return labels
+
+
+def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, hot: int, match: int) -> DataFrame:
+    """(a, b): pairs of one list that may still be links between two components."""
+    sizes = classes.select("rep", "n").distinct()
     hubs = facts.select("a").distinct().join(sizes.select(F.col("rep").alias("a"), "n"), "a")
     rows = facts.select("a", "b", "shared", "extras").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
     rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), F.lit(None).cast("array<long>").alias("extras"), "n"))
-    rows = written(label(label(rows, "a"), "b"), "members")
+    rows = written(_label(_label(rows, labels, "a"), labels, "b"), "members")
     # only hubs with a member outside their component leave anything open
     rows = join_small(rows, written(rows.where("a_in <> b_in").select("a").distinct(), "open-hubs"), ["a"], "left_semi")
     beside = rows.select("a", "b", F.explode("extras").alias("s"))
@@ -143,8 +184,14 @@ def _open_pairs(facts: DataFrame, sizes: DataFrame, labels: DataFrame, percent:
     # a link shares percent / (100 + percent) of both sizes together
     enough = lambda both: f"({100 + percent}) * ({both}) >= {percent} * (n_x + n_y) and b_in_x <> b_in_y"
     low, high = f"cast(ceil({percent} * n_x / 100) as long)", f"least(cast(floor(100 * n_x / {percent}) as long), cast(floor({100 + percent} * core_x / {percent}) as long) - n_x)"
-    ranged = x.where(f"{high} >= {low}").withColumn("n_y", F.explode(F.expr(f"sequence({low}, {high})")))
-    within = ranged.join(y, ["a", "n_y"]).where(enough("least(core_x, core_y)"))
+    # a pair that collides often enough meets in lists: the first of them speaks for it, whose hub bounds it as any other
+    both = lists.join(x.where(f"{high} >= {low}").select("a").distinct(), "a", "left_semi").join(classes.select(F.col("rep").alias("b"), "tokens"), "b")
+    both = both.join(lists.groupBy("b").agg(F.collect_list("token").alias("posted")), "b")  # no more than the coordinates
+    both = written(both.select("token", "a", "b", "tokens", "posted"), "open-lists")
+    near = lambda df, c: df.join(both.select("token", "a", F.col("b").alias(f"b_{c}"), F.col("tokens").alias(f"t_{c}"), F.col("posted").alias(f"p_{c}")), ["a", f"b_{c}"])
+    ranged = near(x.where(f"{high} >= {low}"), "x").withColumn("n_y", F.explode(F.expr(f"sequence({low}, {high})")))
+    agreed = f"array_min(array_intersect(p_x, p_y)) = token and size(array_intersect(t_x, t_y)) >= {match}"
+    within = ranged.join(near(y, "y").drop("a"), ["token", "n_y"]).where(f"{enough('least(core_x, core_y)')} and {agreed}").select("b_x", "b_y").distinct()
     shared = beside.where("not hot")
     met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "b_in_x").distinct()
     met = met.join(y, ["a", "b_y"]).where(enough("least(core_x, core_y) + least(rest_x, rest_y)"))
@@ -169,25 +216,16 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
     sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary"), "sets")
 
     hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
-    pairs = posted.join(hubs, "token").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
-    facts = _compare(written(pairs, "pairs"), sets, percent, True)
-    sizes = classes.select("rep", "n").distinct()
+    lists = written(posted.join(hubs, "token").select("token", "a", F.col("rep").alias("b"), "weight"), "lists")
+    facts = _compare(written(lists.where("a <> b").select("a", "b").distinct(), "pairs"), sets, percent, True)
     labels = written(components(facts.where("linked").select("a", "b")), "labels")
 
-    again = _open_pairs(facts, sizes, labels, percent, hot)
-    for side in "ab":
-        again = again.join(classes.select(F.col("rep").alias(side), F.col("tokens").alias(f"t{side}")), side)
-    again = written(again.where(f"size(array_intersect(ta, tb)) >= {match}").select("a", "b").distinct(), "pairs")
+    apart = _label(_label(facts.select("a", "b"), labels, "a"), labels, "b").where("a_in <> b_in").select("a", "b")
+    labels = _elected(lists.join(apart, ["a", "b"]), classes, sets, labels, percent, match)
+    again = _colliding(_open_pairs(facts, lists, classes, labels, percent, hot, match), classes, match)
     found = _compare(again, sets, percent, False).where("linked").select("a", "b")
     if found.limit(1).count():
-        # what is linked now joins whole components: their labels stand for their members
-        named = found
-        for side in "ab":
-            named = named.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-        merged = written(components(named.select("a_in", "b_in"), "a_in", "b_in"), "merged")
-        own = labels.union(found.select("a", "a")).union(found.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
-        own = own.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
-        labels = written(own.select("node", F.coalesce("whole", "component").alias("component")), "labels")
+        labels = _relabelled(labels, found)
 
     named = classes.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("rep"))
     own = signed.select("doc", "n", "key").join(written(named, "named"), "key", "left")
