@@ -9,6 +9,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline import keys
 from ledgerline.functions import crypto
@@ -16,10 +17,10 @@ from ledgerline.operators import rules
 from ledgerline.pipeline import load_and_merge
 from ledgerline.plans import exports, verify
 from ledgerline.plans.merge import commands_of
-from ledgerline.sinks import anchor, disclose, write_bundle
+from ledgerline.sinks import COMMITTED, anchor, disclose, write_bundle
 from ledgerline.sources import captures
 from ledgerline.sources.files import read_files
-from ledgerline.sources.rulesets import load_key_catalog, load_ruleset
+from ledgerline.sources.rulesets import load_key_catalog, load_ruleset, parse_disclosable, parse_ruleset, ruleset_text
 
 
 def _spark() -> SparkSession:
@@ -42,15 +43,22 @@ def reconstruct(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def package(spark: SparkSession, a: argparse.Namespace) -> int:
-    events = _session(spark, a)["events"].cache()
+    session = _session(spark, a)
+    events = session["events"].cache()
     n = _found(spark, events, a.rules).count()
+    captured = [session[x].agg(F.sum("n")).first()[0] or 0 if x in session else 0 for x in ("inclusions", "exclusions")]
     key = json.loads(Path(a.key).read_text()) if a.key else None
     at = time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime())
     import secrets
 
     signing = {"private": bytes.fromhex(key["private"]), "public_pem": key["public"]} if key else {}
-    text = Path(a.rules).read_text() if a.rules else "version: 1\nrules: []\n"
-    write_bundle(spark, events, a.out, bundle_id=a.session, produced_at=at, seed=secrets.token_hex(32), ruleset=text, destructive=n, narrative={"narrative.md": exports.markdown(events, a.session), "narrative.html": exports.html(events, a.session)}, **signing)
+    # what is sealed is what the operations were counted by
+    text = Path(a.rules).read_text() if a.rules else ruleset_text(rules.DEFAULT_RULES)
+    fields = {k: set(v) for k, v in COMMITTED.items()}
+    for kind, names in parse_disclosable(parse_ruleset(text)["disclosable"]).items():
+        fields[kind] = fields.get(kind, set()) | names
+    fields = {k: tuple(sorted(v)) for k, v in fields.items()}
+    write_bundle(spark, events, a.out, bundle_id=a.session, produced_at=at, seed=secrets.token_hex(32), ruleset=text, destructive=n, attributed=captured[0], excluded=captured[1], fields=fields, narrative={"narrative.md": exports.markdown(events, a.session), "narrative.html": exports.html(events, a.session)}, **signing)
     return 0
 
 

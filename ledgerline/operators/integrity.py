@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.tables import kept
+
 ZERO = "00" * 32
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -24,7 +26,9 @@ def json_text(value: Column) -> Column:
         out = F.replace(out, F.lit(char), F.lit(escape))
     for code in range(32):
         if chr(code) not in "\b\t\n\f\r":
-            out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}")) if code else out
+            out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    # few strings hold anything to escape, and 34 passes cost more than one look
+    out = F.when(value.rlike(r'[\x00-\x1f"\\]'), out).otherwise(value)
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 
@@ -44,10 +48,9 @@ def link(previous_hex: Column, payload_hash: Column, metadata: Column) -> Column
 
 
 def chain_root(rows: DataFrame, at: list[str], order: str, payload_hash: str = "payload_hash", metadata: str = "metadata") -> DataFrame:
-    """Last hash of the chain of each group; the fold runs inside the JVM."""
-    items = F.array_sort(F.collect_list(F.struct(order, payload_hash, metadata)))
-    root = F.aggregate(items, F.lit(ZERO), lambda h, x: link(h, x[payload_hash], x[metadata]))
-    return rows.groupBy(*at).agg(root.alias("root_hash"), F.count("*").alias("n"))
+    """Last hash of the chain of each group. Groups stream through, none is gathered into a row."""
+    walked = chain(rows.select(*at, order, payload_hash, metadata), at, order, payload_hash, metadata)
+    return walked.groupBy(*at).agg(F.max_by("chain_hash", order).alias("root_hash"), F.count("*").alias("n"))
 
 
 def chain(rows: DataFrame, at: list[str], order: str, payload_hash: str = "payload_hash", metadata: str = "metadata") -> DataFrame:
@@ -93,14 +96,20 @@ def node(left_hex: Column, right_hex: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left_hex), F.unhex(right_hex)), 256)
 
 
-def merkle_levels(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[DataFrame]:
+def _level(df: DataFrame) -> DataFrame:
+    return kept(df, "level")
+
+
+def merkle_levels(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = _level) -> list[DataFrame]:
     """Levels of the trees of all groups from the leaves (at, idx, hash) up to the roots.
 
+    The leaves and every fourth level are cut, so nothing is derived from further below.
+
     A level pairs places 2i and 2i + 1; a lone last node is promoted. That equals the split
     at the largest power of two for any number of leaves.
     """
-    levels = [leaves.select(*at, F.col("idx").cast("long").alias("idx"), "hash")]
-    most = leaves.agg(F.max("idx")).first()[0] or 0
+    levels = [cut(leaves.select(*at, F.col("idx").cast("long").alias("idx"), "hash"))]
+    most = levels[0].agg(F.max("idx")).first()[0] or 0
     for turn in range(int(most).bit_length()):
         side = lambda odd: F.max(F.when(F.col("idx") % 2 == odd, F.col("hash")))
         pairs = levels[-1].groupBy(*at, F.floor(F.col("idx") / 2).cast("long").alias("up")).agg(side(0).alias("l"), side(1).alias("r"))
@@ -109,13 +118,20 @@ def merkle_levels(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], D
     return levels
 
 
-def merkle_roots(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    return merkle_levels(leaves, at, cut)[-1].select(*at, F.col("hash").alias("merkle_root"))
+def merkle_roots(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = _level) -> DataFrame:
+    return roots_of(merkle_levels(leaves, at, cut), at)
 
 
-def inclusion_proofs(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def roots_of(levels: list[DataFrame], at: list[str]) -> DataFrame:
+    return levels[-1].select(*at, F.col("hash").alias("merkle_root"))
+
+
+def inclusion_proofs(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = _level) -> DataFrame:
     """at, idx, hash, path: siblings from the leaf up, each with the side on which it stands."""
-    levels = merkle_levels(leaves, at, cut)
+    return proofs_of(merkle_levels(leaves, at, cut), at)
+
+
+def proofs_of(levels: list[DataFrame], at: list[str]) -> DataFrame:
     out = levels[0].withColumn("path", F.array().cast("array<struct<hash: string, left: boolean>>"))
     for depth, level in enumerate(levels[:-1]):
         own = F.shiftright("idx", depth)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.tables import kept
+
 #: Rounds of pointer jumping after which the table is cut.
-CUT_EVERY = 4
+CUT_EVERY = 2
 
 
 def order_columns() -> list[Column]:
@@ -69,7 +71,11 @@ def first_seen(rows: DataFrame, at: list[str], value: str, order: list[str]) ->
     return seen.withColumn("place", F.row_number().over(W.partitionBy(*at).orderBy("_at")).cast("long")).select(*at, value, "place")
 
 
-def forest(events: DataFrame, cut=lambda df: df) -> DataFrame:
+def _state(df: DataFrame) -> DataFrame:
+    return kept(df, "forest")
+
+
+def forest(events: DataFrame, cut=_state) -> DataFrame:
     """session, id, root, depth of a forest given as session, id, parent (null for roots).
 
     Parents come from attach_parents, so they exist and stand earlier: there are no cycles.

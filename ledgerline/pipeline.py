@@ -65,7 +65,7 @@ def capture_source(records: DataFrame, session: str, src: int) -> DataFrame:
 def load_and_merge(spark: SparkSession, session: str, *, agent_a: str | None = None, agent_b: str | None = None, shell_history: str | None = None, reflog: str | None = None, store: str | None = None, include_unattributed: bool = False, window_ms: int = WINDOW_MS) -> dict[str, DataFrame]:
     """events (merged), exclusions (why store records were left out) of one session's sources."""
     log = scan_agent_b(read_files(spark, agent_b), session) if agent_b else scan_agent_a(read_files(spark, agent_a), session)
-    facts = (agent_b_sessions(read_files(spark, agent_b)) if agent_b else agent_a_sessions(read_files(spark, agent_a))).first()
+    facts = (agent_b_sessions(read_files(spark, agent_b)) if agent_b else agent_a_sessions(read_files(spark, agent_a))).orderBy("started").first()  # of several logs the earliest
     started = F.lit(facts.started if facts else None).cast("string")
     from pyspark.sql import Window as W
 
@@ -80,9 +80,10 @@ def load_and_merge(spark: SparkSession, session: str, *, agent_a: str | None = N
         low, high = (F.lit(x).cast("long") for x in ((ends.a - 60_000, ends.b + 60_000) if ends.a is not None else (None, None)))
         records = captures.scoped(captures.scan_store(read_files(spark, store)), F.lit(facts.agent_session if facts else None).cast("string"), F.lit(include_unattributed), low, high)
         parts.append(capture_source(records, session, 3))
-        excluded = records.where("decision <> 'include'").groupBy("decision").agg(F.count("*").alias("n"))
+        by = records.groupBy("decision").agg(F.count("*").alias("n"))
+        included, excluded = by.where("decision = 'include'"), by.where("decision <> 'include'")
     events = parts[0]
     for more in parts[1:]:
         events = events.unionByName(more)
     out = {"events": merge(events, window_ms)}
-    return out | ({"exclusions": excluded} if excluded is not None else {})
+    return out | ({"inclusions": included, "exclusions": excluded} if excluded is not None else {})

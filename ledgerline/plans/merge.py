@@ -103,17 +103,17 @@ def gap_events(events: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     with_effects = effect.select("session").distinct()
     kernel = of("process_spawn").where("b.source = 'kernel'")
     spawned = truncated(F.when(F.size("b.argv") > 0, F.array_join("b.argv", " ")).otherwise(F.col("b.exe")))
-    named = F.when(F.coalesce("b.intentEventId", F.lit("")) != "", _text(" names intent ", F.col("b.intentEventId"), ", which is not in this bundle, and")).otherwise("")
+    named = F.when(F.coalesce("b.intentEventId", F.lit("")) != "", _text(" (under the unknown intent ", F.col("b.intentEventId"), ")")).otherwise("")
     parts = [
-        (missing(of("tool_result"), key(found["results"], "seq")), "tool_result_without_pre_capture", _text('Tool result for "', F.coalesce("b.toolName", F.lit("unknown")), '" at ', F.col("wall_ts"), " has no matching shell_command_pre capture.")),
-        (missing(pre, key(found["results"], "pre_seq"), key(found["intents"], "pre_seq")), "pre_capture_without_tool_result", _text("Shell command pre-capture at ", F.col("wall_ts"), " (", shown, ") has no matching tool_result.")),
-        (missing(pre.where(F.col("b.source") == HOOKED), key(claimed, "intent_seq")).join(with_effects, "session", "left_semi"), "intent_without_effect", _text("The agent was about to run ", shown, " and no post-execution record closed it.")),
-        (effect.join(key(found["effects"].where("how = 'none'"), "seq"), ["session", "at"], "left_semi"), "effect_without_intent", _text("The post-execution record for ", F.col("b.toolName"), named, " could not be matched to a pre-execution capture.")),
-        (missing(kernel, key(found["execs"], "seq")), "kernel_execve_without_hook", _text("The kernel witnessed ", spawned, " in the agent's process tree at ", F.col("wall_ts"), ", and no hook or shim recorded it.")),
+        (missing(of("tool_result"), key(found["results"], "seq")), "tool_result_without_pre_capture", _text("A result of ", F.coalesce("b.toolName", F.lit("unknown")), " came at ", F.col("wall_ts"), ": no command was captured ahead of it.")),
+        (missing(pre, key(found["results"], "pre_seq"), key(found["intents"], "pre_seq")), "pre_capture_without_tool_result", _text("A command was captured at ", F.col("wall_ts"), " and no result followed: ", shown)),
+        (missing(pre.where(F.col("b.source") == HOOKED), key(claimed, "intent_seq")).join(with_effects, "session", "left_semi"), "intent_without_effect", _text("No record tells how this ended: ", shown)),
+        (effect.join(key(found["effects"].where("how = 'none'"), "seq"), ["session", "at"], "left_semi"), "effect_without_intent", _text("What ", F.col("b.toolName"), " did is recorded", named, " without a capture of its start.")),
+        (missing(kernel, key(found["execs"], "seq")), "kernel_execve_without_hook", _text("Only the kernel saw this process, at ", F.col("wall_ts"), ": ", spawned)),
     ]
     out = [gaps.gap_rows(rows.withColumn("_w", F.col("wall_ts")), reason, None, detail) for rows, reason, detail in parts]
     breaks = found["breaks"].select("session", F.col("seq").alias("at"), "path", "hash", "previous_hash", "previous_event_id").join(pre, ["session", "at"])
-    detail = _text(F.col("path"), " was ", described(F.col("previous_hash")), " when event ", F.col("previous_event_id"), " finished and ", described(F.col("hash")), " when event ", F.col("id"), " started.")
+    detail = _text("Between ", F.col("previous_event_id"), " and ", F.col("id"), " this file went from ", described(F.col("previous_hash")), " to ", described(F.col("hash")), ": ", F.col("path"))
     out.append(gaps.gap_rows(breaks, "unwitnessed_file_change", F.array("previous_event_id", "id"), detail))
     whole = out[0]
     for more in out[1:]:

@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 
 from ledgerline.adapter import LOG_SQL, WINDOW_MS, event_log, table
 from ledgerline.operators import correlate, gaps, scope, timeline
+from ledgerline.plans.verify import disclosed_overlap
+from ledgerline.sinks import counts
+from ledgerline.sources import captures, hooks
+from ledgerline.streaming.captures import collector_counters
 from ledgerline.operators.intervals import argv_overlap, best, interval_join, related_paths
 
 QUERIES: dict = {}
@@ -48,10 +52,13 @@ def a1_tool_summary(spark: SparkSession, d: str) -> DataFrame:
     return timeline.tool_summary(_log(spark, d).withColumnRenamed("k", "tool"), "tool", "type")
 
 
-@query("a2_manifest_counts", f"WITH {LOG_SQL} SELECT count(*) AS events, count(*) FILTER (WHERE type = 'gap') AS gaps, count(*) FILTER (WHERE type = 'effect') AS artifacts, count(*) FILTER (WHERE type = 'exec' AND k < 10) AS captures FROM e")
+@query("a2_manifest_counts", f"""WITH {LOG_SQL} SELECT count(*) AS events, count(*) FILTER (WHERE type = 'gap') AS gaps, count(*) FILTER (WHERE type = 'effect') AS "artifactsPre", count(*) FILTER (WHERE type = 'effect') AS "artifactsPost",
+7::BIGINT AS "destructiveOperations", count(*) FILTER (WHERE type = 'exec' AND k < 10) AS "capturesAttributed", 2::BIGINT AS "capturesExcluded" FROM e""")
 def a2_manifest_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("type")
-    return _log(spark, d).agg(F.count("*").alias("events"), F.count_if(t == "gap").alias("gaps"), F.count_if(t == "effect").alias("artifacts"), F.count_if((t == "exec") & (F.col("k") < 10)).alias("captures"))
+    log = _log(spark, d)
+    events = log.withColumn("type", F.when(F.col("type") == "effect", "file_diff").otherwise(F.col("type")))
+    found = counts(events, 7, log.where("type = 'exec' and k < 10").count(), 2)
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
 
 
 _SCOPED = f"""WITH {LOG_SQL},
@@ -97,16 +104,16 @@ def a7_hour_runs(spark: SparkSession, d: str) -> DataFrame:
     return timeline.hour_sections(log, ["session"], ["us", "seq"], "wall_ts")
 
 
-@query("a8_store_stats", "SELECT source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes, min(doc_id) AS oldest, max(doc_id) AS newest, count(*) > 5000 OR sum(octet_length(encode(text))) > 25 * 1024 * 1024 AS warn FROM documents GROUP BY source")
+@query("a8_store_stats", "SELECT count(*) AS records, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS bytes, 1700000000 + min(doc_id) AS oldest, 1700000000 + max(doc_id) AS newest, count(*) > 5000 OR sum(octet_length(encode(text))) > 25 * 1024 * 1024 AS warn FROM documents")
 def a8_store_stats(spark: SparkSession, d: str) -> DataFrame:
-    size = F.sum(F.octet_length("text").cast("long"))
-    docs = table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n"), size.alias("bytes"), F.min("doc_id").alias("oldest"), F.max("doc_id").alias("newest")).withColumn("warn", (F.col("n") > 5000) | (F.col("bytes") > 25 * 1024 * 1024))
+    files = table(spark, d, "documents").select(F.col("text").alias("content"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modified"))
+    return captures.store_stats(files).withColumns({c: F.unix_seconds(c) for c in ("oldest", "newest")})
 
 
-@query("a10_collector_counters", f"WITH {LOG_SQL} SELECT session_id AS session, count(*) AS seen, count(*) FILTER (WHERE k % 4 = 1) AS recorded, count(*) FILTER (WHERE k % 4 = 3) AS uncharacterized FROM e WHERE type = 'exec' GROUP BY 1")
+@query("a10_collector_counters", f"WITH {LOG_SQL} SELECT count(*) AS seen, count(*) FILTER (WHERE k % 4 > 1) AS recorded, count(*) FILTER (WHERE k % 4 <= 1) AS uncharacterized FROM e WHERE type = 'exec'")
 def a10_collector_counters(spark: SparkSession, d: str) -> DataFrame:
-    return _of(_log(spark, d), "exec").groupBy("session").agg(F.count("*").alias("seen"), F.count_if(F.col("k") % 4 == 1).alias("recorded"), F.count_if(F.col("k") % 4 == 3).alias("uncharacterized"))
+    argv = F.when(F.col("k") % 4 > 1, F.array(F.lit("run"), F.col("k").cast("string"))).when(F.col("k") % 4 == 1, F.array().cast("array<string>"))
+    return collector_counters(_log(spark, d).select(F.when(F.col("type") == "exec", "execve").otherwise("command").alias("kind"), F.struct(argv.alias("argv")).alias("r")))
 
 
 # --- windows, order, sets ----------------------------------------------------------------
@@ -307,11 +314,11 @@ def file_diff(listed: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state"))
 
 
-@query("j12_overlap_lines", "SELECT count(*) FILTER (WHERE a.l_quantity <> b.l_quantity) AS differing, count(*) AS common FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2")
+@query("j12_overlap_lines", "SELECT a.l_orderkey AS idx FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_returnflag || a.l_linestatus <> b.l_returnflag || b.l_linestatus")
 def j12_overlap_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
-    side = lambda n: lines.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_quantity").alias(f"q{n}"))
-    return side(1).join(side(2), "l_orderkey").agg(F.count_if(F.col("q1") != F.col("q2")).alias("differing"), F.count("*").alias("common"))
+    side = lambda n: lines.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("idx"), F.concat("l_returnflag", "l_linestatus").alias("line"))
+    return disclosed_overlap(side(1), side(2))
 
 
 @query("j13_opening_semi", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -471,10 +478,13 @@ def described(digest):
     return F.coalesce(F.concat(F.lit("sha256:"), F.substring(digest, 1, 12)), F.lit("absent"))
 
 
-@query("f18_extract_paths", r"""SELECT page_id, array_to_string(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1)), ' ') <> '' AS any_path, len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS n FROM pages""")
+_COMMAND = "replace(replace(replace(html, '<', ' '), '>', ' '), '=\"', ' ')"
+
+
+@query("f18_extract_paths", rf"""SELECT page_id, array_to_string(regexp_extract_all({_COMMAND}, '(^|[ \t\n\f\r\x0B])(\.{{0,2}}/[^ \t\n\f\r\x0B;|&<>()''"`$]+)', 2), ' ') AS paths FROM pages""")
 def f18_extract_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", (F.size(found) > 0).alias("any_path"), F.size(found).cast("long").alias("n"))
+    """Pages taken as command lines: their tags fall apart into words, many of which are paths."""
+    return table(spark, d, "pages").select("page_id", F.array_join(hooks.paths(F.expr(_COMMAND)), " ").alias("paths"))
 
 
 @query("f28_parse_mono", "SELECT event_id, CASE WHEN regexp_matches(s, '^(0|[1-9][0-9]*)$') THEN TRY_CAST(s AS BIGINT) END AS mono FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '0' || event_id WHEN 2 THEN '99999999999' || (10000000000 + event_id) ELSE event_id || 'ns' END AS s FROM events)")

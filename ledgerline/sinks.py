@@ -74,12 +74,21 @@ def seal(events: DataFrame) -> DataFrame:
     return integrity.chain(events.withColumn("metadata", event_metadata()), ["session"], "id")
 
 
-def event_line() -> Column:
-    """One event as a line of JSON, keys in the order in which events are written."""
+#: The links of an event line and the columns that hold them.
+LINKS = (("linkedEffectId", "linked_effect"), ("linkedIntentId", "linked_intent"), ("linkedShellCommandPreId", "linked_pre"))
+
+
+def event_line(links: bool = False) -> Column:
+    """One event as a line of JSON, keys in the order in which events are written; with links where they were found."""
     text = lambda c: integrity.json_text(F.col(c).cast("string"))
     pairs = (("id", "id"), ("wallTs", "wall_ts"), ("monoNs", "mono"), ("sessionId", "session"), ("agentId", "agent"), ("parentEventId", "parent"), ("type", "type"))
     head = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), text(c)) for k, c in pairs])
-    return F.concat(F.lit("{"), head, F.lit(',"payload":'), F.col("payload"), F.lit(',"payloadHash":'), text("payload_hash"), F.lit(',"chainHash":'), text("chain_hash"), F.lit("}"))
+    return F.concat(F.lit("{"), head, F.lit(',"payload":'), F.col("payload"), F.lit(',"payloadHash":'), text("payload_hash"), F.lit(',"chainHash":'), text("chain_hash"), _correlation() if links else F.lit(""), F.lit("}"))
+
+
+def _correlation() -> Column:
+    found = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{k}":'), integrity.json_text(F.col(c)))) for k, c in LINKS]
+    return F.when(F.coalesce(*[F.col(c) for _, c in LINKS]).isNotNull(), F.concat(F.lit(',"correlation":{'), F.concat_ws(",", *found), F.lit("}"))).otherwise("")
 
 
 def write_lines(rows: DataFrame, column: str, order: str, path: Path) -> None:
@@ -126,14 +135,14 @@ def leaves(sealed: DataFrame) -> DataFrame:
     return sealed.select("session", place.alias("idx"), integrity.leaf(F.unhex("chain_hash")).alias("hash"))
 
 
-def write_bundle(spark: SparkSession, events: DataFrame, root: str, *, bundle_id: str, produced_at: str, seed: str, ruleset: str = "version: 1\nrules: []\n", destructive: int = 0, private: bytes | None = None, public_pem: str | None = None, narrative: dict[str, str] | None = None, raw: dict[str, bytes] | None = None, fields: dict | None = None) -> dict:
+def write_bundle(spark: SparkSession, events: DataFrame, root: str, *, bundle_id: str, produced_at: str, seed: str, ruleset: str = "version: 1\nrules: []\n", destructive: int = 0, attributed: int = 0, excluded: int = 0, private: bytes | None = None, public_pem: str | None = None, narrative: dict[str, str] | None = None, raw: dict[str, bytes] | None = None, fields: dict | None = None) -> dict:
     """Seal one session's events into a folder and return the manifest."""
     folder = Path(root)
     for sub in ("attestations", "rules", "raw"):
         (folder / sub).mkdir(parents=True, exist_ok=True)
     committed = commit_fields(events, seed, fields)
     sealed = seal(committed).cache()
-    write_lines(sealed.withColumn("_line", event_line()), "_line", "id", folder / "events.jsonl")
+    write_lines(sealed.withColumn("_line", event_line({c for _, c in LINKS} <= set(sealed.columns))), "_line", "id", folder / "events.jsonl")
     opened = sealed.select("id", F.explode("openings").alias("o")).orderBy("id", "o.path")
     openings = [{"eventId": r.id, "path": r.o.path, "salt": r.o.salt, "value": json.loads(r.o.value)} for r in opened.toLocalIterator()]
     (folder / "commitments.json").write_text(json.dumps({"schemaVersion": 1, "algorithm": ALGORITHM, "openings": openings}, ensure_ascii=False))
@@ -158,7 +167,7 @@ def write_bundle(spark: SparkSession, events: DataFrame, root: str, *, bundle_id
         "merkleRoot": tree.merkle_root if tree else integrity.EMPTY_ROOT,
         "eventsJsonlSha256": mapped["events.jsonl"]["sha256"],
         "files": mapped,
-        "counts": counts(sealed, destructive),
+        "counts": counts(sealed, destructive, attributed, excluded),
         "rulesetHash": hashlib.sha256(ruleset.encode()).hexdigest(),
         "signatures": [],
         "timestamps": [],

@@ -74,7 +74,7 @@ def capture_events(records: DataFrame, session: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in (("command", "shell_command_pre"), ("effect", "tool_call_effect"), ("execve", "process_spawn"), ("capture_failed", "gap")) for x in p])
     rows = records.where("decision = 'include'")
     tool = F.when(F.col("r.toolName").isNotNull(), F.concat(F.lit(" while capturing "), "r.toolName")).otherwise("")
-    lost = F.concat(F.lit("The capture hook threw "), "r.errorClass", F.lit(' in phase "'), "r.phase", F.lit('"'), tool, F.lit(" at "), "captured_at", F.lit(" and wrote no capture record: "), "r.message", F.lit("."))
+    lost = F.concat(F.lit("Capturing failed at "), "captured_at", F.lit(", phase "), "r.phase", tool, F.lit(": "), "r.errorClass", F.lit(", "), "r.message")
     source = F.when(F.col("record_kind") == "execve", "kernel").when(F.col("record_kind") == "effect", "claude-posttooluse").otherwise(F.col("r.source"))
     return rows.select(
         "id",

@@ -89,7 +89,7 @@ def reflog_events(entries: DataFrame, started: Column) -> DataFrame:
     read = entries.where("commit is not null")
     argv = F.concat(F.array(F.lit("git"), "action"), F.split("description", " "))
     short = F.substring("commit", 1, 7)
-    detail = F.concat(F.lit("Git reflog shows "), "action", F.lit(": "), "description", F.lit(" (commit "), short, F.lit(") but no shell command was captured."))
+    detail = F.concat(F.lit("No captured command explains "), short, F.lit(", which the reflog has as "), "action", F.lit(": "), "description")
     nothing = F.lit(None).cast("string")
     spawn = read.select("path", "line_no", F.lit(0).alias("ordinal"), at, F.lit("process_spawn").alias("type"), argv.alias("argv"), nothing.alias("reason"), nothing.alias("detail"))
     gap = read.select("path", "line_no", F.lit(1).alias("ordinal"), at, F.lit("gap").alias("type"), F.lit(None).cast("array<string>").alias("argv"), F.lit("reflog_change_without_command").alias("reason"), detail.alias("detail"))

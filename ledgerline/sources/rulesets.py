@@ -33,6 +33,13 @@ def parse_ruleset(text: str | None) -> dict:
     return {"rules": rules, "disclosable": [str(x) for x in found.get("disclosable") or []], "tsa": tsa}
 
 
+def ruleset_text(rules) -> str:
+    """A ruleset that parse_ruleset() reads as these rules (JSON is YAML)."""
+    names = ("argvHead", "argvContainsAny", "anyArgvRegex", "stdinRegex")
+    listed = [{"id": r[0], "severity": r[1], "matcher": {k: v for k, v in zip(names, r[2:], strict=True) if v is not None}} for r in rules]
+    return json.dumps({"version": 1, "rules": listed}, indent=1) + "\n"
+
+
 def load_ruleset(path: str) -> dict:
     file = Path(path)
     return parse_ruleset(file.read_text() if file.exists() else None)

@@ -132,10 +132,15 @@ def split_late(rows: DataFrame, newest: Column, allowed: str = LATE) -> tuple[Da
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout_s: int = 600) -> None:
-    """Process what there is and stop; sink gets each batch once per epoch and must be idempotent."""
+    """Process what there is and stop; sink gets each batch once per epoch and must be idempotent.
+
+    A stream that is not through in time is an error, never a result in part; its checkpoint
+    lets a later call go on from there.
+    """
     query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        query.awaitTermination(timeout_s)
+        if not query.awaitTermination(timeout_s):
+            raise TimeoutError(f"the stream was not through after {timeout_s} s")
     finally:
         query.stop()
 
