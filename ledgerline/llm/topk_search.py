@@ -152,8 +152,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     spark, fields = candidates.sparkSession, "pack long, dim int, ids binary, vals binary"
     pick = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.expr(f"not exists(`{vec_col}`, x -> x is null)")).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     shards = written(pick(candidates).mapInArrow(tx.trimmed(_packed(SHARD_ROWS, BLOCK_BYTES)), fields), "shards")
-    blocks = pick(queries).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(tx.trimmed(_packed(BLOCK_ROWS, BLOCK_BYTES)), fields)
-    blocks = written(blocks, "blocks")
+    asked = written(pick(queries).groupBy("id").agg(F.min("vec").alias("vec")), "queries")
+    # as few tasks as there are blocks, so that each of them is full
+    asked = asked.coalesce(1 + asked.count() // BLOCK_ROWS)
+    blocks = written(asked.mapInArrow(tx.trimmed(_packed(BLOCK_ROWS, BLOCK_BYTES)), fields), "blocks")
     out = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/ranked-{uuid.uuid4().hex}"
     result = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], result).write.parquet(out)
