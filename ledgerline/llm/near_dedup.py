@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import textops as tx
-from ledgerline.llm.common import join_small, table, written
+from ledgerline.llm.common import join_small, parted, table, written
 from ledgerline.llm.components import components
 
 #: What separates words.
@@ -119,6 +119,15 @@ def _compared(percent: int, extras: bool):
     return run
 
 
+def _once(sets: DataFrame, signed: DataFrame) -> DataFrame:
+    """sets with one row per class: rows that repeat an id and its shingles would each meet all of the other's."""
+    repeated = written(signed.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("key")), "repeated")
+    if not repeated.limit(1).count():
+        return sets
+    many, single = parted(sets, F.col("rep"), repeated)
+    return written(single.unionByName(many.dropDuplicates(["rep"])), "sets")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
     """(a, b, shared, linked, extras) of the pairs (a, b), from their full sets."""
     whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
@@ -214,6 +223,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
 
     members = posted.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
     sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary"), "sets")
+    sets = _once(sets, signed)
 
     hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
     lists = written(posted.join(hubs, "token").select("token", "a", F.col("rep").alias("b"), "weight"), "lists")

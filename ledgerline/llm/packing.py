@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import near_dedup
 from ledgerline.llm import textops as tx
-from ledgerline.llm.common import folded, join_small, table, written
+from ledgerline.llm.common import folded, join_small, parted, table, written
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -119,6 +119,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 def copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(th, component) of the texts that have near copies; by hash of the text, as ids may be null or repeat."""
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    repeated = written(texts.groupBy("th").count().where("count > 1").select(F.col("th").alias("key")), "equal-texts")
+    many, single = parted(texts, F.col("th"), repeated)
+    texts = single.unionByName(written(many.dropDuplicates(["th"]), "one-each"))
     linked = near_dedup.link(texts, id_col="th").where("component_id <> doc_id")
     return written(linked.select(F.col("doc_id").alias("th"), F.col("component_id").alias("component")).distinct(), "copies")
 

@@ -79,6 +79,17 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.link(empty(spark)).count() == 0
 
 
+def test_rows_that_repeat_an_id_meet_once(spark, monkeypatch):
+    rng, met = random.Random(29), []
+    base = words(rng, 120)
+    rows = [(d, edited(rng, base, 1 + d % 3), None, None, None) for d in range(6)] * 20
+    compare = near_dedup._compare
+    monkeypatch.setattr(near_dedup, "_compare", lambda *a: met.append(compare(*a)) or met[-1])
+    got = near_dedup.link(frame(spark, rows), k=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == groups([r[:2] for r in rows], 4)
+    assert met[0].count() and all(f.count() == f.select("a", "b").distinct().count() for f in met)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
