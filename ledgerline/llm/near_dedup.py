@@ -48,6 +48,8 @@ COORDS = 32
 MATCH = 14
 #: Classes of a list that hold a shingle which its hub lacks, up to which they are paired by it.
 HOT = 64
+#: Steps of sizes, for a factor of e, in which the partners of an open class are looked for.
+STEPS = 16
 #: Elections of a hub among the classes that are left over in a list.
 ROUNDS = 3
 
@@ -198,9 +200,11 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     both = both.join(lists.groupBy("b").agg(F.collect_list("token").alias("posted")), "b")  # no more than the coordinates
     both = written(both.select("token", "a", "b", "tokens", "posted"), "open-lists")
     near = lambda df, c: df.join(both.select("token", "a", F.col("b").alias(f"b_{c}"), F.col("tokens").alias(f"t_{c}"), F.col("posted").alias(f"p_{c}")), ["a", f"b_{c}"])
-    ranged = near(x.where(f"{high} >= {low}"), "x").withColumn("n_y", F.explode(F.expr(f"sequence({low}, {high})")))
+    step = lambda n: f"cast(floor({STEPS} * ln({n})) as int)"
+    ranged = near(x.where(f"{high} >= {low}"), "x").withColumn("step", F.explode(F.expr(f"sequence({step(low)}, {step(high)})")))
     agreed = f"array_min(array_intersect(p_x, p_y)) = token and size(array_intersect(t_x, t_y)) >= {match}"
-    within = ranged.join(near(y, "y").drop("a"), ["token", "n_y"]).where(f"{enough('least(core_x, core_y)')} and {agreed}").select("b_x", "b_y").distinct()
+    sized = near(y, "y").drop("a").withColumn("step", F.expr(step("n_y")))
+    within = ranged.join(sized, ["token", "step"]).where(f"n_y between {low} and {high} and {enough('least(core_x, core_y)')} and {agreed}").select("b_x", "b_y").distinct()
     shared = beside.where("not hot")
     met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "b_in_x").distinct()
     met = met.join(y, ["a", "b_y"]).where(enough("least(core_x, core_y) + least(rest_x, rest_y)"))
