@@ -23,6 +23,8 @@ MARKED_KEYS = 16_000_000
 BITS = 16
 #: Fixed value: bits in one bitmap of bitmap_construct_agg().
 BITMAP = 32_768
+#: Fixed value: the setting by which an execution drops its shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
 
+    The shuffles of the write are dropped when it has ended, as nothing reads them again.
     Tables of one application stand in a folder of its id, to be dropped when it is over.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
