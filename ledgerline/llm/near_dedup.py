@@ -176,7 +176,7 @@ def _elected(left: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataF
 
 
 def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, hot: int, match: int) -> DataFrame:
-    """(a, b): pairs of one list that may still be links between two components."""
+    """(a, b): pairs of one list that collide and may still be links between two components."""
     sizes = classes.select("rep", "n").distinct()
     hubs = facts.select("a").distinct().join(sizes.select(F.col("rep").alias("a"), "n"), "a")
     rows = facts.select("a", "b", "shared", "extras").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
@@ -208,8 +208,9 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     shared = beside.where("not hot")
     met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "b_in_x").distinct()
     met = met.join(y, ["a", "b_y"]).where(enough("least(core_x, core_y) + least(rest_x, rest_y)"))
-    pairs = within.select("b_x", "b_y").union(met.select("b_x", "b_y"))
-    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    ends = [F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")]
+    met = _colliding(met.select(*ends).distinct(), classes, match)
+    return written(within.select(*ends).union(met).distinct(), "open-pairs")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +237,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
 
     apart = _label(_label(facts.select("a", "b"), labels, "a"), labels, "b").where("a_in <> b_in").select("a", "b")
     labels = _elected(lists.join(apart, ["a", "b"]), classes, sets, labels, percent, match)
-    again = _colliding(_open_pairs(facts, lists, classes, labels, percent, hot, match), classes, match)
+    again = _open_pairs(facts, lists, classes, labels, percent, hot, match)
     found = _compare(again, sets, percent, False).where("linked").select("a", "b")
     if found.limit(1).count():
         labels = _relabelled(labels, found)
