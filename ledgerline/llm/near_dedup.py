@@ -13,7 +13,8 @@
 4. What two classes of a list share lies within the list's first hub or outside of it. For
    classes that are in different components still, pairs of one list are taken up again
    only if their signatures collide in `match` coordinates and they share a shingle outside
-   the hub, or what each shares with the hub is enough for a link. Shingles that more than
+   the hub, or what each shares with the hub is enough for a link, counted in blocks of the
+   hub's shingles of which both can share only the lesser number. Shingles that more than
    `hot` classes hold and the hub lacks count as the hub's. No other pair can be a link, so
    none is lost, and no list is paired in full.
 5. The link is confirmed on the full shingle sets.
@@ -50,6 +51,8 @@ MATCH = 14
 HOT = 64
 #: Steps of sizes, for a factor of e, in which the partners of an open class are looked for.
 STEPS = 16
+#: Blocks, by hash, in which shingles shared with a hub are counted: of each two texts share the lesser number at most.
+BLOCKS = 16
 #: Elections of a hub among the classes that are left over in a list.
 ROUNDS = 3
 
@@ -104,11 +107,12 @@ def _sets(k: int):
 
 
 def _compared(percent: int, extras: bool):
-    """Full sets oa, ob of a pair: what they share, whether that is a link, what b has beside a."""
+    """Full sets oa, ob of a pair: what they share, whether that is a link, what b has beside a, what it shares by block."""
+    block = np.uint64(64 - BLOCKS.bit_length() + 1)
 
     def run(batches):
         for batch in batches:
-            shared, linked, more = [], [], []
+            shared, linked, more, blocks = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 inside = np.isin(y, x, assume_unique=True)
@@ -116,7 +120,8 @@ def _compared(percent: int, extras: bool):
                 shared.append(both)
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 more.append(y[~inside].view(np.int64) if extras else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "extras"])
+                blocks.append(np.bincount((y[inside] >> block).astype(np.int64), minlength=BLOCKS) if extras else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(more, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "extras", "blocks"])
 
     return run
 
@@ -131,11 +136,11 @@ def _once(sets: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
-    """(a, b, shared, linked, extras) of the pairs (a, b), from their full sets."""
+    """(a, b, shared, linked, extras, blocks) of the pairs (a, b), from their full sets."""
     whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
     firsts = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
     whole = whole.join(firsts.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
-    return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>"), "compared")
+    return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>, blocks array<long>"), "compared")
 
 
 def _label(df: DataFrame, labels: DataFrame, c: str) -> DataFrame:
@@ -179,8 +184,8 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     """(a, b): pairs of one list that collide and may still be links between two components."""
     sizes = classes.select("rep", "n").distinct()
     hubs = facts.select("a").distinct().join(sizes.select(F.col("rep").alias("a"), "n"), "a")
-    rows = facts.select("a", "b", "shared", "extras").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
-    rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), F.lit(None).cast("array<long>").alias("extras"), "n"))
+    rows = facts.select("a", "b", "shared", "extras", "blocks").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
+    rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), *[F.lit(None).cast("array<long>").alias(c) for c in ("extras", "blocks")], "n"))
     rows = written(_label(_label(rows, labels, "a"), labels, "b"), "members")
     # only hubs with a member outside their component leave anything open
     rows = join_small(rows, written(rows.where("a_in <> b_in").select("a").distinct(), "open-hubs"), ["a"], "left_semi")
@@ -188,12 +193,15 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     held = beside.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1")
     beside = written(beside.join(held, ["a", "s"]).select("a", "b", "s", (F.col("c") > hot).alias("hot")), "beside")
     most = beside.groupBy("a", "b").agg(F.count_if("hot").alias("more"), F.count_if(~F.col("hot")).alias("rest"))
-    rows = rows.drop("extras").join(most, ["a", "b"], "left").withColumn("core", F.col("shared") + F.coalesce("more", F.lit(0))).withColumn("rest", F.coalesce("rest", F.lit(0)))
-    rows = written(rows.select("a", "b", "n", "core", "rest", "a_in", "b_in"), "bounds")
-    x = rows.where("a_in <> b_in").select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "core", "rest", "b_in")])
-    y = rows.select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "core", "rest", "b_in")])
+    rows = rows.drop("extras").join(most, ["a", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("core", F.col("shared") + F.col("more")).withColumn("rest", F.coalesce("rest", F.lit(0)))
+    rows = written(rows.select("a", "b", "n", "core", "rest", "more", "blocks", "a_in", "b_in"), "bounds")
+    x = rows.where("a_in <> b_in").select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "core", "rest", "more", "blocks", "b_in")])
+    y = rows.select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "core", "rest", "more", "blocks", "b_in")])
     # a link shares percent / (100 + percent) of both sizes together
     enough = lambda both: f"({100 + percent}) * ({both}) >= {percent} * (n_x + n_y) and b_in_x <> b_in_y"
+    # the hub itself has no blocks
+    each = " + ".join(f"least(blocks_x[{i}], blocks_y[{i}])" for i in range(BLOCKS))
+    core = f"coalesce(least(more_x, more_y) + {each}, least(core_x, core_y))"
     low, high = f"cast(ceil({percent} * n_x / 100) as long)", f"least(cast(floor(100 * n_x / {percent}) as long), cast(floor({100 + percent} * core_x / {percent}) as long) - n_x)"
     # a pair that collides often enough meets in lists: the first of them speaks for it, whose hub bounds it as any other
     both = lists.join(x.where(f"{high} >= {low}").select("a").distinct(), "a", "left_semi").join(classes.select(F.col("rep").alias("b"), "tokens"), "b")
@@ -204,10 +212,10 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     ranged = near(x.where(f"{high} >= {low}"), "x").withColumn("step", F.explode(F.expr(f"sequence({step(low)}, {step(high)})")))
     agreed = f"array_min(array_intersect(p_x, p_y)) = token and size(array_intersect(t_x, t_y)) >= {match}"
     sized = near(y, "y").drop("a").withColumn("step", F.expr(step("n_y")))
-    within = ranged.join(sized, ["token", "step"]).where(f"n_y between {low} and {high} and {enough('least(core_x, core_y)')} and {agreed}").select("b_x", "b_y").distinct()
+    within = ranged.join(sized, ["token", "step"]).where(f"n_y between {low} and {high} and {enough(core)} and {agreed}").select("b_x", "b_y").distinct()
     shared = beside.where("not hot")
-    met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "b_in_x").distinct()
-    met = met.join(y, ["a", "b_y"]).where(enough("least(core_x, core_y) + least(rest_x, rest_y)"))
+    met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "more_x", "blocks_x", "b_in_x").distinct()
+    met = met.join(y, ["a", "b_y"]).where(enough(f"{core} + least(rest_x, rest_y)"))
     ends = [F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")]
     met = _colliding(met.select(*ends).distinct(), classes, match)
     return written(within.select(*ends).union(met).distinct(), "open-pairs")
