@@ -2,12 +2,15 @@
 
 Building a chain is serial within a session and parallel across sessions; verifying one
 needs only the stored hash of the row before, so it is one window pass. Merkle levels are
-built by grouping positions in halves, one shuffle per level, each half the size.
+built by grouping positions in halves, one shuffle per level, each half the size. Audit paths
+are built block by block, one shuffle for ten levels, without a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,18 +131,128 @@ def roots_of(levels: list[DataFrame], at: list[str]) -> DataFrame:
 
 def inclusion_proofs(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = _level) -> DataFrame:
     """at, idx, hash, path: siblings from the leaf up, each with the side on which it stands."""
-    return proofs_of(merkle_levels(leaves, at, cut), at)
-
-
-def proofs_of(levels: list[DataFrame], at: list[str]) -> DataFrame:
-    out = levels[0].withColumn("path", F.array().cast("array<struct<hash: string, left: boolean>>"))
-    for depth, level in enumerate(levels[:-1]):
-        own = F.shiftright("idx", depth)
-        sibling = level.select(*at, F.col("idx").alias("_sib"), F.col("hash").alias("_hash"))
-        out = out.withColumn("_sib", own.bitwiseXOR(F.lit(1))).join(sibling, [*at, "_sib"], "left")
-        step = F.array(F.struct(F.col("_hash").alias("hash"), (F.col("_sib") < own).alias("left")))
-        out = out.withColumn("path", F.when(F.col("_hash").isNull(), F.col("path")).otherwise(F.concat("path", step))).drop("_sib", "_hash")
-    return out
+    return proven_leaves(leaves, at, cut).drop("merkle_root")
+
+
+#: Fixed value: levels of a block of a tree. A task holds the 2 ** BLOCK_LEVELS leaves of one block, whatever the size of the tree.
+BLOCK_LEVELS = 10
+_PATH = "array<struct<hash: string, left: boolean>>"
+
+
+def proven_leaves(leaves: DataFrame, at: list[str], cut: Callable[[DataFrame], DataFrame] = _level) -> DataFrame:
+    """at, idx, hash, path and merkle_root of leaves (at, idx, hash) whose idx runs from 0 without gaps.
+
+    Blocks of leaves are trees of their own, and their roots are the leaves of the tree above.
+    What that tree has for a block, the rest of its paths and the root, travels as JSON among the
+    block's rows, ahead of them: there is no join, so nothing is broadcast, and null keys are keys.
+    """
+    rows = cut(leaves.select(*at, F.col("idx").cast("long").alias("idx"), F.unhex("hash").alias("hash")))
+    return _proven(rows, at, rows.agg(F.max("idx")).first()[0] or 0, cut, BLOCK_LEVELS)
+
+
+def _proven(rows: DataFrame, at: list[str], most: int, cut: Callable[[DataFrame], DataFrame], bits: int) -> DataFrame:
+    dealt = rows.select(*at, F.shiftright("idx", bits).alias("_block"), "idx", "hash")
+    if most >> bits:
+        above = _proven(cut(_by_block(dealt, at, bits, proofs=False)), at, most >> bits, cut, bits)
+        rest = F.to_json(F.struct("path", "merkle_root")).cast("binary")  # a column of its own would cost every leaf more than its hashing
+        dealt = dealt.unionByName(above.select(*at, F.col("idx").alias("_block"), F.lit(-1).cast("long").alias("idx"), rest.alias("hash")))
+    return _by_block(dealt, at, bits, proofs=True)
+
+
+@lru_cache(128)
+def _siblings(n: int):
+    """Of each of n leaves and each level: the sibling's place among the nodes, whether there is one, whether it stands left."""
+    import numpy as np
+
+    own, below, width, levels = np.arange(n), 0, n, []
+    while width > 1:
+        levels.append((below + (own ^ 1), (own ^ 1) < width, own % 2 == 1))
+        own, below, width = own >> 1, below + width, (width + 1) >> 1
+    return tuple(np.array(x).reshape(len(levels), n).T for x in (zip(*levels, strict=True) if levels else ([], [], [])))
+
+
+def _nodes(hashes: list) -> list:
+    """The nodes of a tree, level by level, from the leaves to the root; what stands above a null is null."""
+    import hashlib
+
+    nodes, level = list(hashes), hashes
+    while len(level) > 1:
+        level = [p[0] if len(p) == 1 else None if None in p else hashlib.sha256(b"\1" + p[0] + p[1]).digest() for p in (level[i : i + 2] for i in range(0, len(level), 2))]
+        nodes += level
+    return nodes
+
+
+def _by_block(dealt: DataFrame, at: list[str], bits: int, proofs: bool) -> DataFrame:
+    """With proofs, the leaves with path and merkle_root; else the root of each block as a leaf of the tree above."""
+    import json
+
+    import numpy as np
+    import pyarrow as pa
+
+    size = 1 << bits
+
+    def whole(batches):
+        """The rows of whole blocks, and where each block begins and the last one ends."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            keys = list(zip(*(rows.column(c).to_pylist() for c in (*at, "_block")), strict=True))
+            bounds = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            if len(bounds) > 1:
+                yield rows.slice(0, bounds[-1]).combine_chunks(), bounds
+            rest = rows.slice(bounds[-1]) if bounds else rows
+            if rest.num_rows > size + 1:
+                raise ValueError("places in a tree have to run from 0 without gaps or repeats")
+        if rest is not None and rest.num_rows:
+            yield rest.combine_chunks(), [0, rest.num_rows]
+
+    def text(nodes):
+        return pa.array([None if x is None else x.hex() for x in nodes], pa.string())
+
+    def walk(batches):
+        for rows, bounds in whole(batches):
+            block, idx, hashes = (rows.column(c).to_pylist() for c in ("_block", "idx", "hash"))
+            nodes, leaves, steps, left, lengths, roots, firsts = [], [], [], [], [], [], []
+            for a, b in pairwise(bounds):
+                ahead = idx[a] == -1
+                first, n = a + ahead, b - a - ahead
+                above = json.loads(hashes[a]) if ahead else {}
+                more = above.get("path", [])
+                least = 1 if all(s["left"] for s in more) else size  # only the last block of a tree may have fewer
+                if idx[first:b] != list(range(block[a] * size, block[a] * size + n)) or not least <= n <= size:
+                    raise ValueError("places in a tree have to run from 0 without gaps or repeats")
+                base, tree = len(nodes), _nodes(hashes[first:b])
+                firsts.append(first)
+                roots.append(above.get("merkle_root") if ahead else tree[-1] and tree[-1].hex())
+                if not proofs:
+                    nodes.append(tree[-1])
+                    continue
+                place, there, side = _siblings(n)
+                rest = np.arange(len(more)) + len(tree)
+                place = np.hstack([place, np.tile(rest, (n, 1))]).astype(np.int64) + base
+                there = np.hstack([there, np.ones((n, len(more)))]).astype(bool)
+                side = np.hstack([side, np.tile([s["left"] for s in more], (n, 1))]).astype(bool)
+                nodes += tree
+                nodes += [bytes.fromhex(s["hash"]) if "hash" in s else None for s in more]
+                leaves.append((np.arange(first, b), np.arange(base, base + n), np.full(n, len(roots) - 1)))
+                steps.append(place[there])
+                left.append(side[there])
+                lengths.append(there.sum(axis=1))
+            if not proofs:
+                own = rows.select(at).take(pa.array(firsts)).columns
+                yield from pa.Table.from_arrays([*own, pa.array([block[f] for f in firsts], pa.int64()), pa.array(nodes, pa.binary())], names=[*at, "idx", "hash"]).to_batches()
+                continue
+            nodes = text(nodes)
+            row, leaf, tree = (pa.array(np.concatenate(x)) for x in zip(*leaves, strict=True))
+            path = pa.StructArray.from_arrays([nodes.take(pa.array(np.concatenate(steps))), pa.array(np.concatenate(left))], names=["hash", "left"])
+            path = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)), path)
+            own = rows.select([*at, "idx"]).take(row).columns
+            yield from pa.Table.from_arrays([*own, nodes.take(leaf), path, pa.array(roots, pa.string()).take(tree)], names=[*at, "idx", "hash", "path", "merkle_root"]).to_batches()
+
+    made = dealt.select(*at, "idx", "hash")
+    made = made.select(*at, "idx", F.hex("hash").alias("hash"), F.lit(None).cast(_PATH).alias("path"), F.lit(None).cast("string").alias("merkle_root")) if proofs else made
+    return dealt.repartition(*at, "_block").sortWithinPartitions(*at, "_block", "idx").mapInArrow(walk, made.schema)
 
 
 def proven_root(leaf_hash: Column, path: Column) -> Column:

@@ -130,8 +130,7 @@ def h5_merkle_root(spark: SparkSession, d: str) -> DataFrame:
 @query("h7_inclusion", f"""WITH {_HASHED}, n AS (SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY session) AS n FROM m)
 SELECT session, idx, list_sum([CASE WHEN xor(idx >> l, 1) < (n + (1 << l) - 1) >> l AND (n + (1 << l) - 1) >> l > 1 THEN 1 ELSE 0 END for l in range(20)])::BIGINT AS steps, true AS proven FROM n""")
 def h7_inclusion(spark: SparkSession, d: str) -> DataFrame:
-    levels = integrity.merkle_levels(_leaves(spark, d), ["session"])
-    proofs = integrity.proofs_of(levels, ["session"]).join(integrity.roots_of(levels, ["session"]), "session")
+    proofs = integrity.proven_leaves(_leaves(spark, d), ["session"])
     return proofs.select("session", F.col("idx").cast("long").alias("idx"), F.size("path").cast("long").alias("steps"), (integrity.proven_root(F.col("hash"), F.col("path")) == F.col("merkle_root")).alias("proven"))
 
 

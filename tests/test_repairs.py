@@ -1,5 +1,6 @@
-"""Cases that once went wrong: control characters, long chains, streams that stop early, sealed rules, links of lines."""
+"""Cases that once went wrong: control characters, long chains, streams that stop early, sealed rules, links of lines, audit paths."""
 
+import hashlib
 import json
 from unittest.mock import MagicMock
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import jcs
 from ledgerline.operators import integrity, rules, timeline
+from ledgerline.plans.verify import root_of
 from ledgerline.sinks import event_line
 from ledgerline.sources.rulesets import parse_ruleset, ruleset_text
 from ledgerline.streaming.captures import run_available
@@ -46,3 +48,38 @@ def test_links_are_written_with_the_line(spark):
     one, two = (json.loads(r.line) for r in df.orderBy("id").select(event_line(links=True).alias("line")).collect())
     assert one["correlation"] == {"linkedIntentId": 'in"t', "linkedShellCommandPreId": "pre"} and "correlation" not in two
     assert "correlation" not in json.loads(df.select(event_line().alias("line")).first().line)
+
+
+def _audit_path(hashes: list[bytes], i: int) -> list[tuple[str, bool]]:
+    """Siblings of leaf i from the leaf up, by the split at the largest power of two."""
+    if len(hashes) == 1:
+        return []
+    k = 1 << ((len(hashes) - 1).bit_length() - 1)
+    own, other = (hashes[:k], hashes[k:]) if i < k else (hashes[k:], hashes[:k])
+    return [*_audit_path(own, i % k), (root_of(other).hex(), i >= k)]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 10])
+def test_audit_paths_need_no_join_and_cross_blocks(spark, bits, monkeypatch):
+    monkeypatch.setattr(integrity, "BLOCK_LEVELS", bits)
+    trees = {n or None: [hashlib.sha256(bytes([n, i])).digest() for i in range(n or 6)] for n in (0, 1, 2, 3, 4, 5, 8, 9, 17, 33)}
+    leaves = spark.createDataFrame([(n, i, h.hex()) for n, hashes in trees.items() for i, h in enumerate(hashes)], "session int, idx long, hash string")
+    proofs = integrity.inclusion_proofs(leaves, ["session"])
+    plan = proofs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    got = {(r.session, r.idx): (r.hash, [tuple(s) for s in r.path]) for r in proofs.collect()}
+    assert got == {(n, i): (h.hex(), _audit_path(hashes, i)) for n, hashes in trees.items() for i, h in enumerate(hashes)}
+    roots = {r.session: r.merkle_root for r in integrity.proven_leaves(leaves, ["session"]).collect()}
+    assert roots == {n: root_of(hashes).hex() for n, hashes in trees.items()}
+
+
+@pytest.mark.parametrize("bits", [1, 10])
+def test_audit_paths_of_no_leaves_null_leaves_and_gaps(spark, bits, monkeypatch):
+    monkeypatch.setattr(integrity, "BLOCK_LEVELS", bits)
+    at = lambda *rows: integrity.proven_leaves(spark.createDataFrame([("s", *r) for r in rows], "session string, idx long, hash string"), ["session"])
+    assert at().collect() == []
+    a, b = at((0, "00" * 32), (1, None)).orderBy("idx").collect()
+    assert (a.path, b.path, a.merkle_root, b.hash) == ([(None, False)], [("00" * 32, True)], None, None)
+    for rows in ([(1, "00" * 32)], [(0, "00" * 32), (2, "00" * 32)], [(0, "00" * 32), (0, "00" * 32)]):
+        with pytest.raises(Exception, match="without gaps or repeats"):
+            at(*rows).collect()
