@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerline.llm import textops as tx
 from ledgerline.llm.common import join_small, parted, table, written
@@ -57,8 +58,16 @@ BLOCKS = 16
 ROUNDS = 3
 
 
-def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of an Arrow column."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sets of this size are sorted sooner than numpy's unique() hashes them."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def shingle_sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of words and the sorted distinct shingle hashes of each text of an Arrow column."""
     gap = tx.gaps(SPACE)
     data, off = tx.text_bytes(column)
     for _, _, part, at in tx.pieces(data, off):
@@ -67,7 +76,7 @@ def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
         hashes = tx.span(tx.prefix(part), start, end)
         grams = tx.grams(hashes, k)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield np.unique(grams[a : b - k + 1]) if b - a >= k else tx.grams(hashes[a:b], b - a) if b > a else hashes[:0]
+            yield b - a, _distinct(grams[a : b - k + 1]) if b - a >= k else tx.grams(hashes[a:b], b - a) if b > a else hashes[:0]
 
 
 def _key(own: np.ndarray) -> bytes | None:
@@ -80,8 +89,9 @@ def _signatures(k: int, coords: int):
 
     def run(batches):
         for batch in batches:
-            n, keys, tokens = [], [], []
-            for own in shingle_sets(batch.column(1), k):
+            words, n, keys, tokens = [], [], [], []
+            for count, own in shingle_sets(batch.column(1), k):
+                words.append(count)
                 n.append(len(own))
                 keys.append(_key(own))
                 if len(own):
@@ -91,7 +101,8 @@ def _signatures(k: int, coords: int):
                     tokens.append(((tx.mix(least) & ~low) | np.arange(coords, dtype=np.uint64)).view(np.int64))
                 else:
                     tokens.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "n", "key", "tokens"])
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=["doc", "n", "key", "tokens", "n_words", *batch.schema.names[2:]])
 
     return run
 
@@ -100,7 +111,7 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             rep, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            kept = [(r, s.tobytes()) for r, key, s in zip(rep, own, shingle_sets(batch.column(1), k), strict=True) if _key(s) == key]
+            kept = [(r, s.tobytes()) for r, key, (_, s) in zip(rep, own, shingle_sets(batch.column(1), k), strict=True) if _key(s) == key]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["rep", "own"])
 
     return run
@@ -126,13 +137,20 @@ def _compared(percent: int, extras: bool):
     return run
 
 
-def _once(sets: DataFrame, signed: DataFrame) -> DataFrame:
-    """sets with one row per class: rows that repeat an id and its shingles would each meet all of the other's."""
-    repeated = written(signed.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("key")), "repeated")
+def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """(rep, own): the full set of each class whose rep is a key in `reps`; only texts that may be of one are moved.
+
+    Rows that repeat an id and its shingles would each meet all of the other's: they stand once.
+    """
+    members = reps.withColumnRenamed("key", "doc").join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
+    texts = written(parted(docs, F.col("doc"), reps)[0], "texts")
+    repeated = signed.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("key"))
+    repeated = written(repeated, "repeated")
+    sets = lambda rows: rows.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary")
     if not repeated.limit(1).count():
-        return sets
-    many, single = parted(sets, F.col("rep"), repeated)
-    return written(single.unionByName(many.dropDuplicates(["rep"])), "sets")
+        return written(sets(texts), "sets")
+    many, single = parted(texts, F.col("doc"), repeated)
+    return written(sets(single).unionByName(sets(many.distinct()).distinct()), "sets")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
@@ -221,22 +239,35 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     return written(within.select(*ends).union(met).distinct(), "open-pairs")
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+def sign(docs: DataFrame, k: int = 5, coords: int = COORDS) -> DataFrame:
+    """A written table of the rows (doc, text, others): doc, n shingles, key of the set, tokens of the signature, n_words, others."""
+    schema = StructType.fromDDL("doc long, n long, key binary, tokens array<long>, n_words long")
+    for field in docs.schema.fields[2:]:
+        schema = schema.add(field)
+    return written(docs.mapInArrow(tx.trimmed(_signatures(k, coords)), schema), "signatures")
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", signed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+
+    signed: what sign() made of the same ids and texts with the same k and coords, where that is there already.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(tx.trimmed(_signatures(k, coords)), "doc long, n long, key binary, tokens array<long>"), "signatures")
+    signed = sign(docs, k, coords) if signed is None else signed
     classes = signed.where("n > 0 and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes, "classes")
 
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
     held = written(tokens.groupBy("token").count().where("count > 1"), "tokens")
-    weighed = tokens.join(held, "token", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token"))).alias("t"))
-    weighed = weighed.select("rep", F.expr("aggregate(t, 0D, (s, x) -> s + ln(x.count))").alias("weight"), F.expr(f"filter(slice(t, 1, {coords - match + 1}), x -> x.count > 1)").alias("t"))
+    # pairs that one class holds alone come first and weigh nothing: what is left of the prefix is all that they change
+    weighed = tokens.join(held.hint("shuffle_hash"), "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
+    weighed = weighed.select("rep", F.expr("aggregate(t, 0D, (s, x) -> s + ln(x.count))").alias("weight"), F.expr(f"slice(t, 1, greatest(size(t) - {match - 1}, 0))").alias("t"))
     posted = written(weighed.select("rep", "weight", F.explode("t.token").alias("token")), "postings")
 
-    members = posted.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
-    sets = written(docs.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary"), "sets")
-    sets = _once(sets, signed)
+    # from here on only posted classes are looked up, so others need not be moved
+    named, reps = classes.select("key", "rep"), written(posted.select(F.col("rep").alias("key")).distinct(), "reps")
+    classes = written(parted(classes, F.col("rep"), reps)[0], "posted-classes")
+    sets = _member_sets(docs, reps, classes, signed, k)
 
     hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
     lists = written(posted.join(hubs, "token").select("token", "a", F.col("rep").alias("b"), "weight"), "lists")
@@ -250,7 +281,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
     if found.limit(1).count():
         labels = _relabelled(labels, found)
 
-    named = classes.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("rep"))
+    named = named.join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("rep"))
     own = signed.select("doc", "n", "key").join(written(named, "named"), "key", "left")
     own = own.withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")))
     return own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))

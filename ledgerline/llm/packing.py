@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import near_dedup
 from ledgerline.llm import textops as tx
-from ledgerline.llm.common import folded, join_small, parted, table, written
+from ledgerline.llm.common import folded, join_small, table, written
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -87,16 +87,17 @@ def _packer(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, cluster: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, cluster: Column | None = None, clusters: DataFrame | None = None, size: Column | None = None) -> DataFrame:
     """doc_id, piece, start_token, n_tokens, bin_id: one row per piece of every text.
 
-    clusters (th, component): the cluster of the texts of that hash, a written table; others are their own.
+    clusters (th, component): the cluster of the texts whose `cluster` (a hash of the text, if not given) is th, a written
+    table; others are their own. size: the tokens of a text, where they are counted already.
     """
     source = F.col("source") if source is None else source
-    if clusters is not None:
-        cluster = F.xxhash64(F.col(text_col))
-    cluster = F.xxhash64(folded(F.col(text_col))) if cluster is None else cluster
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n"), source.alias("source"), cluster.alias("cluster"))
+    if cluster is None:
+        cluster = F.xxhash64(F.col(text_col) if clusters is not None else folded(F.col(text_col)))
+    size = tokens(text_col) if size is None else size
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n"), source.alias("source"), cluster.alias("cluster"))
     if clusters is not None:
         rows = join_small(rows.withColumnRenamed("cluster", "th"), clusters, ["th"])
         rows = rows.select("doc_id", "n", "source", F.coalesce("component", "th").alias("cluster"))
@@ -116,16 +117,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     return full.union(part)
 
 
-def copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(th, component) of the texts that have near copies; by hash of the text, as ids may be null or repeat."""
-    texts = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    repeated = written(texts.groupBy("th").count().where("count > 1").select(F.col("th").alias("key")), "equal-texts")
-    many, single = parted(texts, F.col("th"), repeated)
-    texts = single.unionByName(written(many.dropDuplicates(["th"]), "one-each"))
-    linked = near_dedup.link(texts, id_col="th").where("component_id <> doc_id")
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
+    """near_dedup.sign() of the texts by their hash, as ids may be null or repeat, with doc_id and source of the rows."""
+    return near_dedup.sign(docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source")))
+
+
+def copies(docs: DataFrame, read: DataFrame, text_col: str = "text") -> DataFrame:
+    """(th, component) of the texts that have near copies; read: signed(docs)."""
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    linked = near_dedup.link(texts, id_col="th", signed=read).where("component_id <> doc_id")
     return written(linked.select(F.col("doc_id").alias("th"), F.col("component_id").alias("component")).distinct(), "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the texts counts their tokens and signs them."""
     docs = table(spark, sf_dir, "documents")
-    return pack(docs, clusters=copies(docs))
+    read = signed(docs)
+    return pack(read, cluster=F.col("doc"), clusters=copies(docs, read), size=F.col("n_words"))

@@ -90,6 +90,26 @@ def test_rows_that_repeat_an_id_meet_once(spark, monkeypatch):
     assert met[0].count() and all(f.count() == f.select("a", "b").distinct().count() for f in met)
 
 
+def test_rows_of_one_id_keep_the_links_of_each_text(spark):
+    rng = random.Random(31)
+    one, two = words(rng, 150, 9000), words(rng, 150, 9000)
+    rows = [(1, one, None, None, None), (1, two, None, None, None), (2, edited(rng, one, 2), None, None, None), (3, edited(rng, two, 2), None, None, None)]
+    rows += [(10 + i, words(rng, 30, 9000), None, None, None) for i in range(20)]
+    got = near_dedup.link(frame(spark, rows), k=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == groups([r[:2] for r in rows], 4)
+
+
+def test_near_dedup_moves_only_texts_that_may_be_alike(spark, monkeypatch):
+    rng, made = random.Random(37), {}
+    rows = [(i, words(rng, 60, 90000), None, None, None) for i in range(400)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 1), None, None, None) for i in range(10)]
+    written = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: made.setdefault(tag, []).append(written(df, tag)) or made[tag][-1])
+    got = near_dedup.link(frame(spark, rows), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups([r[:2] for r in rows], 4)
+    assert all(20 <= made[tag][0].count() < 120 for tag in ("texts", "posted-classes")) and made["sets"][0].count() == made["reps"][0].count()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
@@ -277,3 +297,16 @@ def test_packing_keeps_near_copies_apart(spark, tmp_path):
     size = {(len(r[1].split()), r[0]): i // 2 for i, r in enumerate(rows)}
     held = [(r.bin_id, size[r.n_tokens, r.doc_id]) for r in got]
     assert len(set(held)) == len(held)
+
+
+def test_packing_counts_tokens_in_the_pass_that_signs(spark, tmp_path, monkeypatch):
+    rng = random.Random(41)
+    text = words(rng, 3000, 9000)
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in odd_rows()] + [(50, " \x0b one\x0ctwo\r\nthree\u00a0four\t", "en", "a", 1), (51, text, "en", "a", 1), (52, text, "en", "b", 1), (53, text.upper(), "en", None, 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((r.doc_id, r.piece, r.start_token, r.n_tokens) for r in packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    monkeypatch.setattr(packing, "tokens", lambda text: pytest.fail("texts are read again to count their tokens"))
+    got = packing.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start_token, r.n_tokens) for r in got) == want
+    rest = [(r.bin_id, r.n_tokens) for r in got if r.doc_id in (51, 52, 53) and r.piece == 1]
+    assert len(rest) == 3 and len({b for b, _ in rest}) == 3
