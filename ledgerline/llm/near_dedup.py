@@ -108,10 +108,13 @@ def _signatures(k: int, coords: int):
 
 
 def _sets(k: int):
+    """Full sets of the texts; of those that come with a key, only where the set has it."""
+
     def run(batches):
         for batch in batches:
-            rep, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            kept = [(r, s.tobytes()) for r, key, (_, s) in zip(rep, own, shingle_sets(batch.column(1), k), strict=True) if _key(s) == key]
+            rep = batch.column(0).to_pylist()
+            keys = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(rep)
+            kept = [(r, s.tobytes()) for r, key, (_, s) in zip(rep, keys, shingle_sets(batch.column(1), k), strict=True) if key is None or _key(s) == key]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["rep", "own"])
 
     return run
@@ -138,25 +141,27 @@ def _compared(percent: int, extras: bool):
 
 
 def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
-    """(rep, own): the full set of each class whose rep is a key in `reps`; only texts that may be of one are moved.
+    """(rep, own): the full sets of the classes whose rep is a key in `reps`, and of few others.
 
-    Rows that repeat an id and its shingles would each meet all of the other's: they stand once.
+    Texts of an id that stands in one row are that class's and are not moved. Of ids that stand in several, texts of
+    another class go by the key, and equal sets stand once, as each would meet all of the other's.
     """
-    members = reps.withColumnRenamed("key", "doc").join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
-    texts = written(parted(docs, F.col("doc"), reps)[0], "texts")
+    made = lambda rows: rows.mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary")
     repeated = signed.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("key"))
     repeated = written(repeated, "repeated")
-    sets = lambda rows: rows.join(members, "doc").select("doc", "text", "key").mapInArrow(tx.trimmed(_sets(k)), "rep long, own binary")
     if not repeated.limit(1).count():
-        return written(sets(texts), "sets")
-    many, single = parted(texts, F.col("doc"), repeated)
-    return written(sets(single).unionByName(sets(many.distinct()).distinct()), "sets")
+        return written(made(parted(docs, F.col("doc"), reps)[0]), "sets")
+    many, single = parted(docs, F.col("doc"), repeated)
+    many, single = (parted(rows, F.col("doc"), reps)[0] for rows in (many, single))
+    members = reps.withColumnRenamed("key", "doc").join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
+    many = many.distinct().join(members, "doc").select("doc", "text", "key")
+    return written(made(single).unionByName(made(many).distinct()), "sets")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
     """(a, b, shared, linked, extras, blocks) of the pairs (a, b), from their full sets."""
     whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
-    firsts = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
+    firsts = parted(sets, F.col("rep"), written(pairs.select(F.col("a").alias("key")).distinct(), "firsts"))[0]
     whole = whole.join(firsts.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
     return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>, blocks array<long>"), "compared")
 
