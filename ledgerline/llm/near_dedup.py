@@ -140,6 +140,12 @@ def _compared(percent: int, extras: bool):
     return run
 
 
+def _among(df: DataFrame, c: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose value in c is a key in `keys`, and about 1 in 256 of the others: two bitmaps of unlike hashes."""
+    again = keys.select(F.xxhash64("key", F.lit(1)).alias("key"))
+    return parted(parted(df, F.col(c), keys)[0], F.xxhash64(F.col(c), F.lit(1)), again)[0]
+
+
 def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
     """(rep, own): the full sets of the classes whose rep is a key in `reps`, and of few others.
 
@@ -150,9 +156,9 @@ def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: D
     repeated = signed.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("key"))
     repeated = written(repeated, "repeated")
     if not repeated.limit(1).count():
-        return written(made(parted(docs, F.col("doc"), reps)[0]), "sets")
+        return written(made(_among(docs, "doc", reps)), "sets")
     many, single = parted(docs, F.col("doc"), repeated)
-    many, single = (parted(rows, F.col("doc"), reps)[0] for rows in (many, single))
+    many, single = (_among(rows, "doc", reps) for rows in (many, single))
     members = reps.withColumnRenamed("key", "doc").join(classes.select(F.col("rep").alias("doc"), "key"), "doc")
     many = many.distinct().join(members, "doc").select("doc", "text", "key")
     return written(made(single).unionByName(made(many).distinct()), "sets")
@@ -161,7 +167,7 @@ def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: D
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool) -> DataFrame:
     """(a, b, shared, linked, extras, blocks) of the pairs (a, b), from their full sets."""
     whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("ob")), "b")
-    firsts = parted(sets, F.col("rep"), written(pairs.select(F.col("a").alias("key")).distinct(), "firsts"))[0]
+    firsts = _among(sets, "rep", written(pairs.select(F.col("a").alias("key")).distinct(), "firsts"))
     whole = whole.join(firsts.select(F.col("rep").alias("a"), F.col("own").alias("oa")), "a")
     return written(whole.select("a", "b", "oa", "ob").mapInArrow(tx.trimmed(_compared(percent, extras)), "a long, b long, shared long, linked boolean, extras array<long>, blocks array<long>"), "compared")
 
@@ -271,7 +277,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
 
     # from here on only posted classes are looked up, so others need not be moved
     named, reps = classes.select("key", "rep"), written(posted.select(F.col("rep").alias("key")).distinct(), "reps")
-    classes = written(parted(classes, F.col("rep"), reps)[0], "posted-classes")
+    classes = written(_among(classes, "rep", reps), "posted-classes")
     sets = _member_sets(docs, reps, classes, signed, k)
 
     hubs = written(posted.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("hub")).select("token", F.negative("hub.r").alias("a")), "hubs")
