@@ -15,8 +15,9 @@
    only if their signatures collide in `match` coordinates and they share a shingle outside
    the hub, or what each shares with the hub is enough for a link, counted in blocks of the
    hub's shingles of which both can share only the lesser number. Shingles that more than
-   `hot` classes hold and the hub lacks count as the hub's. No other pair can be a link, so
-   none is lost, and no list is paired in full.
+   `hot` classes hold and the hub lacks count as the hub's. Classes that share too little
+   of their own set with the whole list are left out. No other pair can be a link, so none
+   is lost, and no list is paired in full.
 5. The link is confirmed on the full shingle sets.
 
 At similarity 0.8 a pair of 32-value signatures agrees in fewer than 14 values with a
@@ -146,6 +147,15 @@ def _among(df: DataFrame, c: str, keys: DataFrame) -> DataFrame:
     return parted(parted(df, F.col(c), keys)[0], F.xxhash64(F.col(c), F.lit(1)), again)[0]
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """(rep, key, n, tokens) of each distinct set: read from the signatures where one row has it, written where several have."""
+    rows = signed.where("n > 0 and doc is not null")
+    several = written(rows.groupBy("key").count().where("count > 1").select(F.xxhash64("key").alias("key")), "equal-sets")
+    maybe, single = parted(rows, F.xxhash64("key"), several)
+    equal = written(maybe.groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    return single.select(F.col("doc").alias("rep"), "key", "n", "tokens").unionByName(equal)
+
+
 def _member_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
     """(rep, own): the full sets of the classes whose rep is a key in `reps`, and of few others.
 
@@ -213,16 +223,19 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     """(a, b): pairs of one list that collide and may still be links between two components."""
     sizes = classes.select("rep", "n").distinct()
     hubs = facts.select("a").distinct().join(sizes.select(F.col("rep").alias("a"), "n"), "a")
-    rows = facts.select("a", "b", "shared", "extras", "blocks").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
-    rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), *[F.lit(None).cast("array<long>").alias(c) for c in ("extras", "blocks")], "n"))
+    rows = facts.select("a", "b", "shared", "blocks").join(sizes.select(F.col("rep").alias("b"), "n"), "b")
+    rows = rows.unionByName(hubs.select("a", F.col("a").alias("b"), F.col("n").alias("shared"), F.lit(None).cast("array<long>").alias("blocks"), "n"))
     rows = written(_label(_label(rows, labels, "a"), labels, "b"), "members")
     # only hubs with a member outside their component leave anything open
-    rows = join_small(rows, written(rows.where("a_in <> b_in").select("a").distinct(), "open-hubs"), ["a"], "left_semi")
-    beside = rows.select("a", "b", F.explode("extras").alias("s"))
+    opened = written(rows.where("a_in <> b_in").select("a").distinct(), "open-hubs")
+    rows = join_small(rows, opened, ["a"], "left_semi")
+    beside = _among(facts.select("a", "b", "extras"), "a", opened.select(F.col("a").alias("key"))).select("a", "b", F.explode("extras").alias("s"))
     held = beside.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1")
     beside = written(beside.join(held, ["a", "s"]).select("a", "b", "s", (F.col("c") > hot).alias("hot")), "beside")
     most = beside.groupBy("a", "b").agg(F.count_if("hot").alias("more"), F.count_if(~F.col("hot")).alias("rest"))
-    rows = rows.drop("extras").join(most, ["a", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("core", F.col("shared") + F.col("more")).withColumn("rest", F.coalesce("rest", F.lit(0)))
+    rows = rows.join(most, ["a", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("core", F.col("shared") + F.col("more")).withColumn("rest", F.coalesce("rest", F.lit(0)))
+    # a link is at least percent of either size, so a class that shares less with all others of the list is in none
+    rows = rows.where(f"100 * (core + rest) >= {percent} * n")
     rows = written(rows.select("a", "b", "n", "core", "rest", "more", "blocks", "a_in", "b_in"), "bounds")
     x = rows.where("a_in <> b_in").select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "core", "rest", "more", "blocks", "b_in")])
     y = rows.select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "core", "rest", "more", "blocks", "b_in")])
@@ -242,9 +255,11 @@ def _open_pairs(facts: DataFrame, lists: DataFrame, classes: DataFrame, labels:
     agreed = f"array_min(array_intersect(p_x, p_y)) = token and size(array_intersect(t_x, t_y)) >= {match}"
     sized = near(y, "y").drop("a").withColumn("step", F.expr(step("n_y")))
     within = ranged.join(sized, ["token", "step"]).where(f"n_y between {low} and {high} and {enough(core)} and {agreed}").select("b_x", "b_y").distinct()
-    shared = beside.where("not hot")
-    met = shared.select("a", "s", F.col("b").alias("b_x")).join(x, ["a", "b_x"]).join(shared.select("a", "s", F.col("b").alias("b_y")), ["a", "s"]).where("b_x <> b_y").select("a", "b_x", "b_y", "n_x", "core_x", "rest_x", "more_x", "blocks_x", "b_in_x").distinct()
-    met = met.join(y, ["a", "b_y"]).where(enough(f"{core} + least(rest_x, rest_y)"))
+    # pairs are counted without what is known of their ends, which is looked up once a pair
+    shared = beside.where("not hot").withColumn("ab", F.xxhash64("a", "b"))
+    shared = {c: _among(shared, "ab", side.select(F.xxhash64("a", f"b_{c}").alias("key"))).select("a", "s", F.col("b").alias(f"b_{c}")) for c, side in (("x", x), ("y", y))}
+    met = shared["x"].join(shared["y"], ["a", "s"]).where("b_x <> b_y").groupBy("a", "b_x", "b_y").agg(F.count("*").alias("both"))
+    met = met.join(x, ["a", "b_x"]).join(y, ["a", "b_y"]).where(enough(f"{core} + both"))
     ends = [F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")]
     met = _colliding(met.select(*ends).distinct(), classes, match)
     return written(within.select(*ends).union(met).distinct(), "open-pairs")
@@ -265,8 +280,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, m
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = sign(docs, k, coords) if signed is None else signed
-    classes = signed.where("n > 0 and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = written(classes, "classes")
+    classes = _classes(signed)
 
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
     held = written(tokens.groupBy("token").count().where("count > 1"), "tokens")

@@ -110,6 +110,39 @@ def test_near_dedup_moves_only_texts_that_may_be_alike(spark, monkeypatch):
     assert all(20 <= made[tag][0].count() < 60 for tag in ("reps", "sets", "posted-classes"))
 
 
+def _recorded(monkeypatch):
+    made, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: made.setdefault(tag, []).append(written(df, tag)) or made[tag][-1])
+    return made
+
+
+def test_near_dedup_writes_signatures_once(spark, monkeypatch):
+    rng, made = random.Random(41), _recorded(monkeypatch)
+    rows = [(i, words(rng, 40, 90000), None, None, None) for i in range(200)]
+    rows += [(1000 + i, rows[i % 7][1], None, None, None) for i in range(21)] + [(None, rows[0][1], None, None, None), (None, rows[50][1], None, None, None)]
+    rows += [(2000, edited(rng, rows[3][1], 1), None, None, None), (2001, edited(rng, rows[60][1], 1), None, None, None)]
+    got = near_dedup.link(frame(spark, rows), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == groups([r[:2] for r in rows], 4)
+    # of the sets that one row has, the signatures are all that stands of the tokens
+    assert {r.rep for r in made["classes"][0].collect()} == set(range(7))
+
+
+def test_open_pairs_without_what_cannot_be_a_link(spark, monkeypatch):
+    rng, made, rows = random.Random(43), _recorded(monkeypatch), []
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    for family in range(3):
+        base = words(rng, 160, 9000)
+        rows += [(1000 * family + i, base.rsplit(" ", 40)[0] + " " + words(rng, 40, 9000), None, None, None) for i in range(12)]
+        for i in range(12):  # neighbours are alike, most of them are not like a hub
+            base = edited(rng, base, 4)
+            rows.append((1000 * family + 100 + i, base, None, None, None))
+    rng.shuffle(rows)
+    for hot in (1, 64):
+        got = {r.doc_id: r.component_id for r in near_dedup.link(frame(spark, rows), k=4, hot=hot).collect()}
+        assert got == groups([r[:2] for r in rows], 4) and made["open-pairs"][-1].count()
+        assert "extras" not in made["members"][-1].columns and 0 < made["bounds"][-1].count() < made["members"][-1].count()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
