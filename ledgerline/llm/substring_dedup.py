@@ -16,8 +16,9 @@ document). Equal ranks settle ties of any length without looking at text: all bu
 smallest document of a (key, rank) lose the segment. Two segments of one key but different
 rank can share a window only if the SIDE bytes before or those after the sample are equal;
 where tags of these bytes say so, the segments are compared window by window from their
-bytes. Very large groups of them are dealt again by window, so that no task gets a whole
-hot group.
+bytes, key by key or, where a key has many, tag by tag. Very large groups of one tag are
+dealt again by window, so that no task gets a whole hot group. Within a key they come by
+document: the windows seen, each with its smallest document, are all that is remembered.
 
 Documents equal in text to one with a smaller id are settled first, by digest.
 
@@ -51,15 +52,20 @@ BUCKET_BYTES = 8 << 20
 HELD = 1 << 17
 #: Bytes of text whose samples are taken at once (a longer document is taken whole).
 PIECE = 1 << 18
-#: Ranks of one key above which its segments are dealt by window.
+#: Ranks of one key and tag above which their segments are dealt by window.
 MANY = 256
+#: Segments of one key that are asked for above which they are dealt by tag.
+CROWD = 4096
 #: Rows of (doc_id, digest) up to which exact copies are looked up by broadcast.
 COPIES = 200_000
 
 _U = np.uint64
 _RANK = _U((1 << 48) - 1)
-#: What a reply says about a segment: it goes, or its bytes are asked for whole, or window by window.
-GONE, WHOLE, WINDOWS = 0, 1, 2
+#: What a reply says about a segment: it goes, or its bytes are asked for whole (dealt by
+#: key, by key and tag before, by key and tag after) or window by window.
+GONE, WHOLE, WINDOWS, BEFORE, AFTER = 0, 1, 2, 4, 8
+#: Bits of these in a reply, beside the rank.
+KIND_BITS = 4
 
 
 def samples(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,7 +154,7 @@ def _dealt(buckets: int):
     return run
 
 
-def _replies(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
+def _replies(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, tags: np.ndarray, many: int, crowd: int) -> tuple[np.ndarray, ...]:
     """Sort one bucket; (doc, rank, kind) for every sample that is settled or asked for."""
     order = np.lexsort((doc, rank, key))
     key, rank, doc, tags = key[order], rank[order], doc[order], tags[order]
@@ -157,38 +163,46 @@ def _replies(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, tags: np.ndarra
     kind = np.zeros(len(doc), np.int64)
     # of equal ranks the smallest document speaks for all
     own = np.flatnonzero(~gone)
-    for tag in (tags >> _U(16), tags & _U(0xFFFF)):
+    for tag, side in ((tags >> _U(16), BEFORE), (tags & _U(0xFFFF), AFTER)):
         at = own[np.lexsort((tag[own], key[own]))]
         start = np.flatnonzero(np.concatenate([[True], (key[at][1:] != key[at][:-1]) | (tag[at][1:] != tag[at][:-1])]))
         number = np.diff(np.append(start, len(at)))
-        many = np.minimum.reduceat(doc[at], start) != np.maximum.reduceat(doc[at], start)
-        kind[at] |= np.repeat(np.where(many, np.where(number > MANY, WINDOWS, WHOLE), 0), number)
+        several = np.minimum.reduceat(doc[at], start) != np.maximum.reduceat(doc[at], start)
+        kind[at] |= np.repeat(np.where(several, np.where(number > many, WINDOWS, side), 0), number)
+    # where a key has few of them, its whole segments meet in one place
+    whole = kind & (BEFORE | AFTER) > 0
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    few = np.repeat(np.add.reduceat(whole.astype(np.int64), start) <= crowd, np.diff(np.append(start, len(key))))
+    kind = np.where(whole & few, kind & WINDOWS | WHOLE, kind)
     said = gone | (kind > 0)
     return doc[said], rank[said], np.where(gone, GONE, kind)[said]
 
 
-def _sorted_buckets(batches):
+def _sorted_buckets(many: int, crowd: int):
     """Buckets one after another; a partition holds its buckets in order."""
     names = ["doc", "rank", "kind"]
     shape = lambda doc, rank, kind: pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rank.astype(np.int64), pa.int64()), pa.array(kind.astype(np.int8), pa.int8())], names=names)
-    bucket, held = None, []
 
-    def whole():
-        return shape(*_replies(*(np.concatenate(x) for x in zip(*held, strict=True))))
+    def whole(held):
+        return shape(*_replies(*(np.concatenate(x) for x in zip(*held, strict=True)), many, crowd))
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            rank, doc = _from_planes(row["ranks"]), _from_planes(row["docs"]).view(np.int64)
-            if row["reply"]:
-                yield shape(doc, rank, np.zeros(len(doc)))
-                continue
-            if row["bucket"] != bucket and held:
-                yield whole()
-                held = []
-            bucket = row["bucket"]
-            held.append((np.cumsum(_from_planes(row["keys"]), dtype=_U), rank, doc, _from_planes(row["tags"])))
-    if held:
-        yield whole()
+    def run(batches):
+        bucket, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                rank, doc = _from_planes(row["ranks"]), _from_planes(row["docs"]).view(np.int64)
+                if row["reply"]:
+                    yield shape(doc, rank, np.zeros(len(doc)))
+                    continue
+                if row["bucket"] != bucket and held:
+                    yield whole(held)
+                    held = []
+                bucket = row["bucket"]
+                held.append((np.cumsum(_from_planes(row["keys"]), dtype=_U), rank, doc, _from_planes(row["tags"])))
+        if held:
+            yield whole(held)
+
+    return run
 
 
 def _said(batch, column: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +210,10 @@ def _said(batch, column: int, first: int, last: int) -> tuple[np.ndarray, np.nda
     said = batch.column(column).slice(first, last - first)
     code = said.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     size = np.nan_to_num(pc.list_value_length(said).to_numpy(zero_copy_only=False)).astype(np.int64)
-    own = np.repeat(np.arange(last - first, dtype=_U), size) << _U(48) | (code >> 2).astype(_U)
-    order = np.lexsort((code & 3, own))
-    return own[order], (code & 3)[order]
+    own = np.repeat(np.arange(last - first, dtype=_U), size) << _U(48) | (code >> KIND_BITS).astype(_U)
+    kind = code & ((1 << KIND_BITS) - 1)
+    order = np.lexsort((kind, own))
+    return own[order], kind[order]
 
 
 def _kinds(doc: np.ndarray, rank: np.ndarray, own: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -219,7 +234,7 @@ def _slices(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _asked(batches):
-    """Bytes of the segments that are asked for; those of crowded keys window by window."""
+    """Bytes of the segments that are asked for; those of large groups window by window."""
     names = ["key", "doc", "th", "pos", "bytes"]
     for batch in batches:
         ids, ths = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -228,61 +243,69 @@ def _asked(batches):
             own, kind = _said(batch, 3, a, b)
             if not kind.any():
                 continue
-            doc, first, last, key, rank, _ = samples(part, at)
+            doc, first, last, key, rank, tags = samples(part, at)
             found = np.maximum(_kinds(doc, rank, own, kind), 0)
-            calm, hot = np.flatnonzero(found & WHOLE), np.flatnonzero(found & WINDOWS)
+            hot = np.flatnonzero(found & WINDOWS)
+            by = ((WHOLE, key), (BEFORE, key ^ (tags >> _U(16) | _U(1 << 16))), (AFTER, key ^ (tags & _U(0xFFFF) | _U(1 << 17))))
+            calm = np.concatenate([np.flatnonzero(found & x) for x, _ in by])
+            calm_keys = np.concatenate([k[found & x > 0] for x, k in by])
             size = last[hot] - first[hot] + 1
             pos = np.repeat(first[hot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             names_of = tx.span(tx.prefix(part), pos, pos + LENGTH) if len(pos) else pos.astype(_U)
             d = np.concatenate([doc[calm], np.repeat(doc[hot], size)])
             start = np.concatenate([first[calm], pos])
             end = np.concatenate([last[calm], pos]) + LENGTH
-            keys = np.concatenate([key[calm], names_of]).view(np.int64)
+            keys = np.concatenate([calm_keys, names_of]).view(np.int64)
             for i in range(0, len(d), 20_000):
                 z = slice(i, i + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[z]), pa.array(ids[a + d[z]]), pa.array(ths[a + d[z]]), pa.array(start[z] - at[d[z]]), _slices(part, start[z], end[z])], names=names)
 
 
 def _compared(batches):
-    """Windows of asked segments, keys together: those that a smaller document has, as stretches."""
+    """Windows of asked segments, by key and document: those that a smaller document has, as stretches."""
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
-    def flush(held):
+    def flush(held, open_key, seen, seen_doc):
         key, doc, th, pos, size, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        if key[0] != open_key:
+            seen, seen_doc = seen[:0], seen_doc[:0]
         begin = np.cumsum(size) - size
         number = size - LENGTH + 1
         row = np.repeat(np.arange(len(size)), number)
         step = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
         at = begin[row] + step
-        name = tx.mix(tx.span(tx.prefix(part), at, at + LENGTH) ^ key[row].view(_U))
-        order = np.lexsort((doc[row], name))
+        # the key is mixed as that of a window dealt alone is the window's hash itself
+        name = np.concatenate([seen, tx.span(tx.prefix(part), at, at + LENGTH) ^ tx.mix(key.view(_U))[row]])
+        d = np.concatenate([seen_doc, doc[row]])
+        order = np.lexsort((d, name))
         new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-        d = doc[row][order]
-        hit = np.zeros(len(row), bool)
-        hit[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-        hit = np.flatnonzero(hit)
+        hit = np.zeros(len(d), bool)
+        hit[order] = d[order] > d[order][np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        # a run may close within a key, whose windows the next one then has to know
+        last = order[new]
+        last = last[np.concatenate([np.full(len(seen), key[0]), key[row]])[last] == key[-1]]
+        hit = np.flatnonzero(hit[len(seen) :])
         # windows that follow each other in one segment are one stretch
         new = np.concatenate([[True], (np.diff(hit) > 1) | (row[hit][1:] != row[hit][:-1])]) if len(hit) else np.zeros(0, bool)
         a = hit[new]
         z = hit[np.concatenate([new[1:], [True]])] if len(hit) else hit
         r = row[a]
-        return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array(pos[r] + step[a]), pa.array(pos[r] + step[z] + LENGTH)], schema=schema)
+        found = pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array(pos[r] + step[a]), pa.array(pos[r] + step[z] + LENGTH)], schema=schema)
+        return found, (key[-1], name[last], d[last])
 
-    held, n = [], 0
+    held, n, known = [], 0, (None, np.empty(0, _U), np.empty(0, np.int64))
     for batch in batches:
-        key, doc, th, pos = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        if not len(batch):
+            continue
         part, off = tx.text_bytes(batch.column(4))
-        # a run may close only where the key changes
-        edge = int(np.searchsorted(key, key[0], "right")) if n and len(key) and key[0] == held[-1][0][-1] else 0
-        for a, b in ((0, edge), (edge, len(key))):
-            if a and n >= HELD // 8 or not edge and n >= HELD // 8:
-                yield flush(held)
-                held, n = [], 0
-            if b > a:
-                held.append((key[a:b], doc[a:b], th[a:b], pos[a:b], np.diff(off[a : b + 1]), part[off[a] : off[b]]))
-                n += b - a
+        held.append((*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)), np.diff(off), part))
+        n += len(batch)
+        if n >= HELD // 8:
+            found, known = flush(held, *known)
+            yield found
+            held, n = [], 0
     if n:
-        yield flush(held)
+        yield flush(held, *known)[0]
 
 
 def _closed(batches):
@@ -336,15 +359,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, total // BUCKET_BYTES)
     dealt = long.select("doc", "text").mapInArrow(tx.trimmed(_dealt(buckets)), "bucket long, keys binary, ranks binary, docs binary, tags binary, reply boolean")
-    replies = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tx.trimmed(_sorted_buckets), "doc long, rank long, kind byte")
+    replies = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tx.trimmed(_sorted_buckets(MANY, CROWD)), "doc long, rank long, kind byte")
     # dealt by document before they are gathered: partial lists would cost more than they save
-    replies = replies.select("doc", F.expr("shiftleft(rank, 2) + kind").alias("code")).repartition("doc")
+    replies = replies.select("doc", F.expr(f"shiftleft(rank, {KIND_BITS}) + kind").alias("code")).repartition("doc")
     replies = written(replies.groupBy("doc").agg(F.collect_list("code").alias("said")), "replies")
 
     # one plan for both uses of the texts, so that their exchange is made once
     told = long.join(replies, "doc", "left").select("doc", "th", "text", "said")
     asked = told.mapInArrow(tx.trimmed(_asked), "key long, doc long, th long, pos long, bytes binary")
-    found = asked.repartition("key").sortWithinPartitions("key").mapInArrow(tx.trimmed(_compared), "doc long, th long, start long, end long")
+    found = asked.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tx.trimmed(_compared), "doc long, th long, start long, end long")
     found = found.groupBy("doc").agg(F.collect_list(F.struct("th", "start", "end")).alias("more"))
     closed = told.join(found, "doc", "left").select("doc", "th", "text", "said", "more").mapInArrow(tx.trimmed(_closed), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,30 @@ def test_substring_dedup_is_exact(spark, monkeypatch, many):
     assert got == cut([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("crowd", [2, 4096])
+def test_substring_dedup_of_passages_that_hundreds_share(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    short, line, rare = letters(40), letters(70), letters(90)
+    # beside 40 shared bytes nothing goes; of the rare passage each text has another part
+    rows = [(i, letters(30) + (short if i % 3 else line) + letters(30), None, None, None) for i in range(900)]
+    rows += [(i, letters(20) + rare[rng.randrange(30) : rng.randrange(60, 91)] + letters(20), None, None, None) for i in range(900, 960)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows)).collect()), key=repr)
+    assert got == cut([(r[0], r[1]) for r in rows])
+
+
+def test_substring_dedup_compares_one_key_over_all_batches():
+    window, other = b"w" * 50, b"o" * 50
+
+    def batch(key, docs, text):
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(docs, pa.int64()), pa.array([0] * len(docs), pa.int64()), pa.array([text] * len(docs), pa.binary())], names=["key", "doc", "th", "pos", "bytes"])
+
+    batches = [batch(1, range(9000 * i, 9000 * i + 9000), window) for i in range(4)] + [batch(2, range(5), other)]
+    gone = [d for found in substring_dedup._compared(iter(batches)) for d in found.column(0).to_pylist()]
+    assert sorted(gone) == sorted([*range(1, 36000), *range(1, 5)])
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
